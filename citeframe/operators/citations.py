@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,14 +34,14 @@ def reference_dates(
     return edges.join(dates, "ref_id", "inner").select(*edges.columns, "ref_date")
 
 
-def rank_references(dated: DataFrame, timepoints: int) -> DataFrame:
-    """The ``timepoints`` oldest references of each paper with their 0-based ``ref_rank``.
+def rank_references(dated: DataFrame, limit: int, first: Sequence[Column] = ()) -> DataFrame:
+    """The ``limit`` oldest references of each paper with their 0-based ``ref_rank``.
 
-    Null dates come last and ties go to the lower ``ref_id``. The limit is part of the window, so
-    each map task cuts its part of a paper before the shuffle.
+    Null dates come last and ties go to the lower ``ref_id``; ``first`` may put an order before the date.
+    The limit is part of the window, so each map task cuts its part of a paper before the shuffle.
     """
-    w = Window.partitionBy("id").orderBy(F.col("ref_date").asc_nulls_last(), F.col("ref_id"))
-    top = dated.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= timepoints)
+    w = Window.partitionBy("id").orderBy(*first, F.col("ref_date").asc_nulls_last(), F.col("ref_id"))
+    top = dated.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit)
     return top.withColumn("ref_rank", F.col("_n") - 1).drop("_n")
 
 

@@ -8,12 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeframe.functions.vectors import assemble, clean_vector, pad_vector, target_vector
-from citeframe.operators.citations import explode_references, rank_references, reference_dates
+from citeframe.operators.citations import rank_references, reference_dates
 from citeframe.sources.datasets import scan_range
 
-# The focal paper is the step after rank 0 in a descending order of ranks.
-FOCAL_RANK = -1
-
 
 def build_examples(
     papers: DataFrame,
@@ -37,9 +34,9 @@ def build_examples(
     ``papers`` is the whole table that references are looked up in; the focal papers are its rows
     with ``low <= date < high`` (or the rows of ``focal``, which may carry ``group_keys``).
 
-    Every paper is also its own step, ranked after all its references. So the vectors are scanned and
-    shuffled once for references and focal papers alike, a paper without references needs no outer
-    join, and one descending sort of at most ``timepoints + 1`` steps gives the final layout.
+    Every paper is also its own step, ranked before its references. So papers and references share one
+    scan, one date lookup and one vector lookup, a paper without references needs no outer join, and one
+    descending sort of at most ``timepoints + 1`` steps gives the final layout.
     With ``group_keys`` (a shard, say) the only shuffle of vector rows is by those keys, which is also
     the layout a partitioned write wants.
     """
@@ -51,35 +48,39 @@ def build_examples(
     else:
         focal = focal.select(*cols)
 
-    edges = explode_references(focal, id_col, refs_col, keep=keys)
-    ranked = rank_references(reference_dates(edges, papers, id_col, date_col), timepoints)
-    own = focal.select(
-        F.col(id_col).alias("id"),
+    none = F.array().cast("array<bigint>")
+    listed = F.concat(F.array(F.col(id_col)), F.coalesce(F.col(refs_col), none))
+    steps = focal.select(
         *keys,
-        F.col(id_col).alias("ref_id"),
-        F.lit(FOCAL_RANK).alias("ref_rank"),
-        F.struct(F.col(date_col).alias("date"), target_vector(y_cols, fill_labels).alias("target")).alias("own"),
+        F.col(id_col).alias("id"),
+        target_vector(y_cols, fill_labels).alias("target"),
+        F.posexplode(listed).alias("_pos", "ref_id"),
     )
-    steps = own.unionByName(ranked.drop("ref_date"), allowMissingColumns=True)
+    own = F.col("_pos") == 0
+    steps = steps.withColumns({"_is_ref": ~own, "target": F.when(own, F.col("target"))})
+    dated = reference_dates(steps.drop("_pos"), papers, id_col, date_col)
+    ranked = rank_references(dated, timepoints + 1, first=[F.col("_is_ref")])
+    ranked = ranked.withColumn("own_date", F.when(~F.col("_is_ref"), F.col("ref_date"))).drop("_is_ref", "ref_date")
 
     lookup = vectors.select(
         F.col(id_col).alias("ref_id"), clean_vector(F.col(vector_col), n_features, pad).alias("embedding")
     )
-    placed = steps.join(lookup, "ref_id", "left").withColumn(
+    placed = ranked.join(lookup, "ref_id", "left").withColumn(
         "embedding", F.coalesce("embedding", pad_vector(n_features, pad))
     )
     if keys:
         placed = placed.repartition(*keys)
     grouped = placed.groupBy(*keys, "id").agg(
-        F.max("own").alias("own"),
+        F.max("target").alias("target"),
+        F.max("own_date").alias("date"),
         F.sort_array(F.collect_list(F.struct("ref_rank", "embedding")), asc=False).alias("steps"),
     )
     return grouped.select(
         *keys,
         F.col("id").alias(id_col),
-        F.col("own.date").alias(date_col),
+        F.col("date").alias(date_col),
         assemble(F.col("steps.embedding"), timepoints, n_features, pad).alias("features"),
-        F.col("own.target").alias("target"),
+        "target",
     )
 
 

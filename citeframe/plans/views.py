@@ -61,7 +61,8 @@ def labelled_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     yearly = orders.groupBy("year").agg(F.sum("cents").alias("year_cents"), F.count("*").alias("year_n"))
     above = (F.col("cents") * F.col("year_n") > F.col("year_cents")).cast("int")
-    return orders.join(yearly, "year", "left").select(
+    # One row per calendar year, whatever the number of orders.
+    return orders.join(F.broadcast(yearly), "year", "left").select(
         F.col("o_orderkey").alias("id"),
         to_epoch_ns(F.col("o_orderdate")).alias("publication_date_int"),
         _refs().alias("refs"),
