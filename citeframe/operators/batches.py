@@ -36,12 +36,8 @@ def batch_ids(
     position = F.col(id_col) if seed is None else shuffle_key(id_col, seed)
     keyed = examples.withColumn("_order", position)
     order = [F.col("_order"), F.col(id_col)]
-    rows = numbered(keyed, keys, order, F.col("_order"), "_row", n_chunks, max_rows)
+    rows = numbered(keyed, keys, order, F.col("_order"), "_row", n_chunks, max_rows, totals=drop_remainder)
     out = rows.withColumn("batch_id", F.call_function("div", F.col("_row") - 1, F.lit(batch_size)))
     if drop_remainder:
-        n_full = F.call_function("div", F.count("*"), F.lit(batch_size)).alias("_n_full")
-        if keys:
-            out = out.join(examples.groupBy(*keys).agg(n_full), keys, "inner").where(F.col("batch_id") < F.col("_n_full"))
-        else:
-            out = out.where(F.col("batch_id") < examples.agg(n_full).scalar())
+        out = out.where(F.col("batch_id") < F.call_function("div", F.col("_row_total"), F.lit(batch_size)))
     return out.select(*examples.columns, "batch_id")

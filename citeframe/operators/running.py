@@ -60,31 +60,40 @@ def running(
     before: bool = False,
     n_chunks: int | None = None,
     max_rows: int = MAX_ROWS_PER_TASK,
+    totals: bool = False,
 ) -> DataFrame:
     """Adds a running ``sum`` or ``max`` per measure (``name -> (function, expression)``).
 
     The value covers the rows up to and including the current one, or only the earlier ones with
-    ``before=True`` (null for the first row). ``n_chunks=None`` decides by counting the groups.
+    ``before=True`` (null for the first row). ``totals`` also adds ``{name}_total``, the value over the whole
+    group. ``n_chunks=None`` decides by counting the groups.
     """
     keys = list(keys)
     if n_chunks is None:
         n_chunks = chunks_needed(df, keys, max_rows)
     last = -1 if before else Window.currentRow
     if n_chunks == 1:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
-        return df.withColumns({name: _FUNCS[f](e).over(w) for name, (f, e) in measures.items()})
+        group = Window.partitionBy(*keys)
+        w = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+        added = {name: _FUNCS[f](e).over(w) for name, (f, e) in measures.items()}
+        if totals:
+            added |= {f"{name}_total": _FUNCS[f](e).over(group) for name, (f, e) in measures.items()}
+        return df.withColumns(added)
 
     cut = cut_into_chunks(df, position, n_chunks)
     inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
     local = cut.withColumns({name: _FUNCS[f](e).over(inside) for name, (f, e) in measures.items()})
 
     # One row per (group, chunk), combined before the shuffle; a group has at most n_chunks of them.
-    totals = cut.groupBy(*keys, _CHUNK).agg(*[_FUNCS[f](e).alias(name) for name, (f, e) in measures.items()])
-    earlier = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
+    parts = cut.groupBy(*keys, _CHUNK).agg(*[_FUNCS[f](e).alias(name) for name, (f, e) in measures.items()])
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = {f"_before_{name}": _FUNCS[f](F.col(name)).over(earlier) for name, (f, _) in measures.items()}
+    sums = {f"{name}_total": _FUNCS[f](F.col(name)).over(group) for name, (f, _) in measures.items()} if totals else {}
+    carry = parts.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         F.col(_CHUNK).alias("_c"),
-        *[_FUNCS[f](F.col(name)).over(earlier).alias(f"_before_{name}") for name, (f, _) in measures.items()],
+        *[column.alias(name) for name, column in (carried | sums).items()],
     )
     same = F.col(_CHUNK) == F.col("_c")
     for i, k in enumerate(keys):
@@ -93,7 +102,7 @@ def running(
     out = joined.withColumns(
         {name: _combine(f, F.col(name), F.col(f"_before_{name}")) for name, (f, _) in measures.items()}
     )
-    return out.select(*df.columns, *measures)
+    return out.select(*df.columns, *measures, *sums)
 
 
 def _combine(func: str, here: Column, earlier: Column) -> Column:
@@ -109,10 +118,14 @@ def numbered(
     name: str = "row_num",
     n_chunks: int | None = None,
     max_rows: int = MAX_ROWS_PER_TASK,
+    totals: bool = False,
 ) -> DataFrame:
-    """Adds 1-based row numbers per group, without sending a hot group to one task."""
+    """Adds 1-based row numbers per group, without sending a hot group to one task.
+
+    ``totals`` also adds ``{name}_total``, the number of rows of the group.
+    """
     one = {name: ("sum", F.lit(1).cast("bigint"))}
-    return running(df, keys, order, position, one, False, n_chunks, max_rows)
+    return running(df, keys, order, position, one, False, n_chunks, max_rows, totals)
 
 
 def look_back(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeframe.functions.timeline import FLOAT_BYTES, ceil_div
 from citeframe.functions.vectors import checked_width
 from citeframe.operators.slicing import meets, shard_counts
 
@@ -72,10 +73,17 @@ def read_shards(
     return df.withColumn("features", checked_width(F.col("features"), timepoints, n_features))
 
 
-def wide_row_settings(timepoints: int, n_features: int, batch_bytes: int = 64 * 1024**2) -> dict[str, str]:
-    """Session settings that keep a columnar batch of example vectors near ``batch_bytes``."""
-    rows = max(16, min(4096, batch_bytes // ((timepoints + 1) * n_features * 4)))
-    return {"spark.sql.parquet.columnarReaderBatchSize": str(rows)}
+def wide_row_settings(
+    n_examples: int, timepoints: int, n_features: int,
+    task_bytes: int = 256 * 1024**2, batch_bytes: int = 64 * 1024**2,
+) -> dict[str, str]:
+    """Session settings for a job over ``n_examples``: shuffle partitions near ``task_bytes`` of example
+    vectors (adaptive execution still joins small ones) and columnar batches near ``batch_bytes``."""
+    width = (timepoints + 1) * n_features * FLOAT_BYTES
+    return {
+        "spark.sql.shuffle.partitions": str(max(200, ceil_div(n_examples * width, task_bytes))),
+        "spark.sql.parquet.columnarReaderBatchSize": str(max(16, min(4096, batch_bytes // width))),
+    }
 
 
 def write_metrics(metrics: DataFrame, path: str, test_size: int, fold_col: str = "fold") -> None:
