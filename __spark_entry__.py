@@ -339,7 +339,7 @@ def lr_search_best(spark, sf_dir):
 
 def lr_fold_metrics(spark, sf_dir):
     examples_path, _ = _export(spark, sf_dir)
-    rows = crossval.cross_validate(
+    rows, _ = crossval.cross_validate(
         spark, examples_path, FOLDS, TIMEPOINTS, N_FEATURES, N_TRIALS, MAX_ITER,
         model_path=scratch.new_path(spark, "models"),
     )

@@ -20,10 +20,7 @@ from pyspark.sql import functions as F
 MAX_ROWS_PER_TASK = 2_000_000
 
 _CHUNK = "_chunk"
-_COMBINE = {
-    "sum": lambda here, before: here + F.coalesce(before, F.lit(0)),
-    "max": lambda here, before: F.greatest(here, before),
-}
+_REAL = "_real"
 _FUNCS = {"sum": F.sum, "max": F.max}
 
 
@@ -81,33 +78,25 @@ def running(
         return df.withColumns(added)
 
     cut = cut_into_chunks(df, position, n_chunks)
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
-    local = cut.withColumns({name: _FUNCS[f](e).over(inside) for name, (f, e) in measures.items()})
+    rows = cut.withColumns({_REAL: F.lit(1), **{f"_v_{name}": e for name, (_, e) in measures.items()}})
 
     # One row per (group, chunk), combined before the shuffle; a group has at most n_chunks of them.
+    # It opens its chunk with the totals of the chunks before it, so no join is needed.
     parts = cut.groupBy(*keys, _CHUNK).agg(*[_FUNCS[f](e).alias(name) for name, (f, e) in measures.items()])
     group = Window.partitionBy(*keys)
     earlier = group.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = {f"_before_{name}": _FUNCS[f](F.col(name)).over(earlier) for name, (f, _) in measures.items()}
-    sums = {f"{name}_total": _FUNCS[f](F.col(name)).over(group) for name, (f, _) in measures.items()} if totals else {}
-    carry = parts.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col(_CHUNK).alias("_c"),
-        *[column.alias(name) for name, column in (carried | sums).items()],
-    )
-    same = F.col(_CHUNK) == F.col("_c")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    joined = local.join(carry, same, "inner")
-    out = joined.withColumns(
-        {name: _combine(f, F.col(name), F.col(f"_before_{name}")) for name, (f, _) in measures.items()}
-    )
-    return out.select(*df.columns, *measures, *sums)
-
-
-def _combine(func: str, here: Column, earlier: Column) -> Column:
-    """Null-safe union of the running value inside the chunk and the carried one."""
-    return F.when(here.isNull(), earlier).otherwise(_COMBINE[func](here, earlier))
+    openers = {_REAL: F.lit(0), **{f"_v_{name}": _FUNCS[f](F.col(name)).over(earlier) for name, (f, _) in measures.items()}}
+    if totals:
+        openers |= {f"_t_{name}": _FUNCS[f](F.col(name)).over(group) for name, (f, _) in measures.items()}
+    opening = parts.select(*keys, _CHUNK, *[column.alias(name) for name, column in openers.items()])
+
+    inside = Window.partitionBy(*keys, _CHUNK).orderBy(_REAL, *order).rowsBetween(Window.unboundedPreceding, last)
+    added = {name: _FUNCS[f](F.col(f"_v_{name}")).over(inside) for name, (f, _) in measures.items()}
+    if totals:
+        first = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        added |= {f"{name}_total": F.first(f"_t_{name}").over(first) for name in measures}
+    both = rows.unionByName(opening, allowMissingColumns=True).withColumns(added)
+    return both.where(F.col(_REAL) == 1).select(*df.columns, *added)
 
 
 def numbered(

@@ -38,8 +38,9 @@ def _refs() -> Column:
     popular = F.when(priority == "1-URGENT", F.array(F.lit(0).cast("bigint"))).otherwise(none)
     again = F.when(priority == "2-HIGH", F.slice(near, 1, 1)).otherwise(none)
     outside = F.when(priority == "5-LOW", F.array(key + _OUTSIDE)).otherwise(none)
-    refs = F.concat(popular, near, again, outside)
-    return F.when((F.size(refs) == 0) & (F.col("o_orderstatus") == "P"), F.lit(None)).otherwise(refs)
+    nothing = (n == 0) & ~priority.isin("1-URGENT", "5-LOW")
+    absent = nothing & (F.col("o_orderstatus") == "P")
+    return F.when(absent, F.lit(None)).otherwise(F.concat(popular, near, again, outside))
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +101,6 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trial_log(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", "value")
 
 
-def vector_text(vector) -> Column:
+def vector_text(vector: Column) -> Column:
     """A vector as text in whole millionths, equal in every engine."""
-    return F.array_join(F.transform(vector, lambda x: F.floor(x.cast("double") * 1000000).cast("string")), ",")
+    return F.transform(vector, lambda x: F.floor(x.cast("double") * 1000000)).cast("string")

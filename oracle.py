@@ -65,7 +65,7 @@ _CTE = {
         ("ranked", "vectors"),
     ),
     "flat": (
-        """SELECT id, string_agg(array_to_string(v, ','), ',' ORDER BY step) AS features
+        """SELECT id, flatten(list(v ORDER BY step))::VARCHAR AS features
         FROM steps GROUP BY id""",
         ("steps",),
     ),
@@ -217,7 +217,7 @@ ORACLE_SQL = {
     ),
     "convert_schema": _with(
         """SELECT p.id, p.publication_date_int, coalesce(array_to_string(p.refs, ','), '') AS refs,
-               array_to_string(list_transform(v.embedding, lambda x: floor(x::DOUBLE * 1000000)::BIGINT), ',') AS embedding
+               list_transform(v.embedding, lambda x: floor(x::DOUBLE * 1000000)::BIGINT)::VARCHAR AS embedding
         FROM papers p JOIN vectors v USING (id)""",
         "papers", "vectors",
     ),
@@ -229,11 +229,11 @@ ORACLE_SQL = {
     "rank_references": _with("SELECT id, ref_id, ref_date, ref_rank FROM ranked", "ranked"),
     "reference_features": _with(
         """SELECT r.id, r.ref_rank, r.ref_id,
-               array_to_string(list_transform(v.embedding, lambda x: floor(x::DOUBLE * 1000000)::BIGINT), ',') AS embedding
+               list_transform(v.embedding, lambda x: floor(x::DOUBLE * 1000000)::BIGINT)::VARCHAR AS embedding
         FROM ranked r JOIN vectors v ON v.id = r.ref_id""",
         "ranked", "vectors",
     ),
-    "example_features": _with("SELECT id, step, array_to_string(v, ',') AS features FROM steps", "steps"),
+    "example_features": _with("SELECT id, step, v::VARCHAR AS features FROM steps", "steps"),
     "examples_between": _with(
         f"""SELECT p.id, p.publication_date_int, f.features, {_TARGETS} FROM flat f JOIN papers p USING (id)
         WHERE p.o_orderdate >= TIMESTAMP '1997-01-01' AND p.o_orderdate < TIMESTAMP '1999-01-01'""",
