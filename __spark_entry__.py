@@ -37,15 +37,18 @@ def _sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slicing.assign_shards(_sliced(spark, sf_dir), ROWS_PER_SHARD)
 
 
-def _export(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """Writes all example shards and their manifest to unused paths of the shared folder."""
+def _export(
+    spark: SparkSession, sf_dir: str, start: int = START_YEAR, end: int = END_YEAR, paths: tuple[str, str] | None = None
+) -> tuple[str, str]:
+    """Writes the example shards and the manifest of some years, to unused paths of the shared folder
+    or on top of an earlier export."""
     examples = sharded_examples(
-        views.labelled_papers(spark, sf_dir), views.vectors(spark, sf_dir), START_YEAR, END_YEAR, 1, ROWS_PER_SHARD,
+        views.labelled_papers(spark, sf_dir), views.vectors(spark, sf_dir), start, end, 1, ROWS_PER_SHARD,
         TIMEPOINTS, N_FEATURES, Y_COLS,
     )
-    paths = scratch.new_path(spark, "examples"), scratch.new_path(spark, "manifest")
-    export(examples, *paths, ROWS_PER_SHARD, overwrite=True)
-    return paths
+    out = paths or (scratch.new_path(spark, "examples"), scratch.new_path(spark, "manifest"))
+    export(examples, *out, ROWS_PER_SHARD, overwrite=paths is None)
+    return out
 
 
 def _with_text(examples: DataFrame, *cols: str) -> DataFrame:
@@ -224,6 +227,12 @@ def exported_range(spark, sf_dir):
     return _with_text(shards.read_shards(spark, examples_path, TIMEPOINTS, N_FEATURES, low, high), "id", "publication_date_int")
 
 
+def manifest_upsert(spark, sf_dir):
+    paths = _export(spark, sf_dir, START_YEAR, 1999)
+    _, manifest_path = _export(spark, sf_dir, 1997, END_YEAR, paths)
+    return shards.read_manifest(spark, manifest_path)
+
+
 # Folds
 
 
@@ -350,8 +359,9 @@ def lr_fold_metrics(spark, sf_dir):
 
 def lr_test_scores(spark, sf_dir):
     examples_path, _ = _export(spark, sf_dir)
-    l2 = training.l2_candidates(1)[0]
-    scores = crossval.score_folds(spark, examples_path, FOLDS, l2, TIMEPOINTS, N_FEATURES, MAX_ITER)
+    models, l2 = scratch.new_path(spark, "models"), training.l2_candidates(1)[0]
+    crossval.score_folds(spark, examples_path, FOLDS, l2, TIMEPOINTS, N_FEATURES, MAX_ITER, model_path=models)
+    scores = crossval.score_saved(spark, examples_path, FOLDS, models, TIMEPOINTS, N_FEATURES)
     in_range = F.count_if((F.col("p") >= 0) & (F.col("p") <= 1)).alias("n_probabilities")
     return scores.groupBy("fold").agg(
         F.count("*").alias("n_test"), F.sum("y").cast("bigint").alias("n_positive"), in_range
@@ -363,7 +373,7 @@ _QUERIES = (
     explode_references, available_references, reference_dates, rank_references, reference_features,
     example_features, examples_between, wide_layout_totals, example_width_check, example_targets, persisted_examples,
     time_slices, wide_time_slices, shard_plan, shard_manifest, shard_names, select_shards_overlap, train_example_count,
-    export_roundtrip, exported_manifest, exported_range,
+    export_roundtrip, exported_manifest, exported_range, manifest_upsert,
     fold_table, fold_roles, fold_roles_overlap, leakage_audit, leakage_audit_overlap,
     batch_ids, shuffled_batches, role_batches,
     binary_metrics, metrics_by_language, balanced_accuracy, log_loss, confusion, pr_curve,

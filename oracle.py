@@ -279,6 +279,7 @@ ORACLE_SQL = {
         "flat", "sharded",
     ),
     "exported_manifest": _with("SELECT * FROM manifest", "manifest"),
+    "manifest_upsert": _with("SELECT * FROM manifest", "manifest"),
     "exported_range": _with(
         f"""SELECT p.id, p.publication_date_int, f.features, {_TARGETS} FROM flat f JOIN papers p USING (id)
         WHERE p.publication_date_int >= (SELECT val_start FROM folds WHERE fold = 1999)
