@@ -77,7 +77,7 @@ def target_vector(y_cols: Sequence[str], fill: float | None = None) -> Column:
     cols = [F.col(c).cast("float") for c in y_cols]
     if fill is not None:
         cols = [F.coalesce(c, F.lit(fill).cast("float")) for c in cols]
-    return F.array(*cols)
+    return F.array(*cols).cast("array<float>")
 
 
 def predicted_class(probability: Column, threshold: float = 0.5) -> Column:

@@ -1,18 +1,19 @@
 """The citation graph as thin edges: explode, resolve against the papers, rank by date.
 
 An edge row is two or three integers. Vectors join only after the rank cut, so the shuffles here
-stay small. A much-cited paper is a hot key only on the edge side of an equi-join with unique ids;
-adaptive execution splits such a partition, because nothing between the join and the next exchange
-needs its partitioning.
+stay small. A much-cited paper is a hot key only on the edge side of an equi-join with unique ids, and
+nothing between such a join and the next exchange needs its partitioning; see ``operators/skew``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeframe.operators.skew import lookup_join
+
 
 def explode_references(
     papers: DataFrame, id_col: str = "id", refs_col: str = "refs", keep: Sequence[str] = ()
@@ -21,17 +22,21 @@ def explode_references(
     return papers.select(F.col(id_col).alias("id"), *keep, F.explode(refs_col).alias("ref_id"))
 
 
-def available_references(edges: DataFrame, papers: DataFrame, id_col: str = "id") -> DataFrame:
+def available_references(
+    edges: DataFrame, papers: DataFrame, id_col: str = "id", hot: Mapping[int, int] | None = None
+) -> DataFrame:
     """Edges whose reference is a paper of the table."""
-    return edges.join(papers.select(F.col(id_col).alias("ref_id")), "ref_id", "left_semi").select(*edges.columns)
+    known = papers.select(F.col(id_col).alias("ref_id"))
+    return lookup_join(edges, known, "ref_id", "id", "left_semi", hot).select(*edges.columns)
 
 
 def reference_dates(
-    edges: DataFrame, papers: DataFrame, id_col: str = "id", date_col: str = "publication_date_int"
+    edges: DataFrame, papers: DataFrame, id_col: str = "id", date_col: str = "publication_date_int",
+    hot: Mapping[int, int] | None = None,
 ) -> DataFrame:
     """Available edges with the date of the reference; ids are unique, so one join does both."""
     dates = papers.select(F.col(id_col).alias("ref_id"), F.col(date_col).alias("ref_date"))
-    return edges.join(dates, "ref_id", "inner").select(*edges.columns, "ref_date")
+    return lookup_join(edges, dates, "ref_id", "id", "inner", hot).select(*edges.columns, "ref_date")
 
 
 def rank_references(dated: DataFrame, limit: int, first: Sequence[Column] = ()) -> DataFrame:
@@ -45,7 +50,10 @@ def rank_references(dated: DataFrame, limit: int, first: Sequence[Column] = ())
     return top.withColumn("ref_rank", F.col("_n") - 1).drop("_n")
 
 
-def reference_features(ranked: DataFrame, vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+def reference_features(
+    ranked: DataFrame, vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding",
+    hot: Mapping[int, int] | None = None,
+) -> DataFrame:
     """Ranked edges with the vector of the reference."""
     lookup = vectors.select(F.col(id_col).alias("ref_id"), F.col(vector_col).alias("embedding"))
-    return ranked.join(lookup, "ref_id", "inner").select(*ranked.columns, "embedding")
+    return lookup_join(ranked, lookup, "ref_id", "id", "inner", hot).select(*ranked.columns, "embedding")

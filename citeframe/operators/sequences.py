@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeframe.functions.vectors import assemble, clean_vector, pad_vector, target_vector
 from citeframe.operators.citations import rank_references, reference_dates
+from citeframe.operators.skew import hot_keys, lookup_join, splits_skew
 from citeframe.sources.datasets import scan_range
 
 
@@ -28,6 +29,7 @@ def build_examples(
     date_col: str = "publication_date_int",
     vector_col: str = "embedding",
     fill_labels: float | None = None,
+    hot: Mapping[int, int] | None = None,
 ) -> DataFrame:
     """One row ``(group_keys, id, date, features, target)`` per focal paper.
 
@@ -39,6 +41,7 @@ def build_examples(
     descending sort of at most ``timepoints + 1`` steps gives the final layout.
     With ``group_keys`` (a shard, say) the only shuffle of vector rows is by those keys, which is also
     the layout a partitioned write wants.
+    ``hot`` names much-cited papers to spread (see ``operators/skew``); by default the session decides.
     """
     keys = list(group_keys)
     focal = papers if focal is None else focal
@@ -58,14 +61,16 @@ def build_examples(
     )
     own = F.col("_pos") == 0
     steps = steps.withColumns({"_is_ref": ~own, "target": F.when(own, F.col("target"))})
-    dated = reference_dates(steps.drop("_pos"), papers, id_col, date_col)
+    if hot is None:
+        hot = {} if splits_skew(focal.sparkSession) else hot_keys(focal.select(F.explode(refs_col).alias("ref_id")), "ref_id")
+    dated = reference_dates(steps.drop("_pos"), papers, id_col, date_col, hot)
     ranked = rank_references(dated, timepoints + 1, first=[F.col("_is_ref")])
     ranked = ranked.withColumn("own_date", F.when(~F.col("_is_ref"), F.col("ref_date"))).drop("_is_ref", "ref_date")
 
     lookup = vectors.select(
         F.col(id_col).alias("ref_id"), clean_vector(F.col(vector_col), n_features, pad).alias("embedding")
     )
-    placed = ranked.join(lookup, "ref_id", "left").withColumn(
+    placed = lookup_join(ranked, lookup, "ref_id", "id", "left", hot).withColumn(
         "embedding", F.coalesce("embedding", pad_vector(n_features, pad))
     )
     if keys:

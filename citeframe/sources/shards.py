@@ -26,6 +26,8 @@ def write_shards(examples: DataFrame, path: str, rows_per_shard: int, overwrite:
         examples.write.mode("overwrite")
         .option("partitionOverwriteMode", "static" if overwrite else "dynamic")
         .option("maxRecordsPerFile", rows_per_shard)
+        # Embedding values hardly repeat, so a dictionary would only be built and thrown away.
+        .option("parquet.enable.dictionary#features.list.element", "false")
     )
     writer.partitionBy(*SLICE_KEYS).parquet(path)
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from citeframe.operators import citations
+from citeframe.operators import citations, skew
 from citeframe.operators.sequences import build_examples
 from citeframe.plans import views
 
@@ -58,20 +58,44 @@ def test_no_query_runs_python_or_a_cross_join(spark, sf, name):
         assert word not in plan, f"{name} uses {word}"
 
 
-def test_a_hot_reference_is_split(spark, conf):
-    """Half of all edges cite paper 0: adaptive execution splits that partition in the date lookup."""
+@pytest.fixture(scope="module")
+def popular(spark):
+    """25,000 papers; half of all edges cite paper 0."""
+    ids = spark.range(0, 25_000, 1, 16).withColumn("x", F.pmod(F.xxhash64("id"), F.lit(25_000)))
+    papers = ids.select("id", (F.col("id") * 7).alias("publication_date_int"), F.array(F.lit(0).cast("bigint"), "x").alias("refs"))
+    vectors = ids.select("id", F.array(F.col("id").cast("float"), F.col("x").cast("float")).alias("embedding"))
+    return papers, vectors
+
+
+def test_hot_references_are_split_in_both_lookups(popular, conf):
     conf(
-        autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1", adaptive__coalescePartitions__enabled="false",
-        adaptive__skewJoin__skewedPartitionThresholdInBytes="50000", adaptive__advisoryPartitionSizeInBytes="50000",
+        shuffle__partitions="32", autoBroadcastJoinThreshold="-1", adaptive__coalescePartitions__enabled="false",
+        adaptive__skewJoin__skewedPartitionThresholdInBytes="20000", adaptive__advisoryPartitionSizeInBytes="20000",
     )
-    edges = spark.range(0, 400_000, 1, 16).select("id", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("ref_id"))
-    papers = spark.range(400_000).select("id", (F.col("id") * 7).alias("publication_date_int"))
-    ranked = citations.rank_references(citations.reference_dates(edges, papers), 3)
-    assert ranked.agg(F.count("*"), F.sum("ref_date")).first()[0] == 400_000
-    ranked.write.format("noop").mode("overwrite").save()
-    probe = citations.reference_dates(edges, papers).repartition("id")
-    probe.collect()
-    assert "isSkew=true" in plan_of(probe) or "skew=true" in plan_of(probe)
+    rows = build_examples(*popular, 2, 2)
+    assert len(rows.collect()) == 25_000
+    assert len(re.findall(r"SortMergeJoin\(skew=true\)", plan_of(rows))) == 2
+
+
+def test_without_adaptive_execution_hot_keys_are_dealt_out(popular, spark, conf):
+    want = sorted(build_examples(*popular, 2, 2).collect())
+    conf(autoBroadcastJoinThreshold="-1", adaptive__enabled="false")
+    papers, vectors = popular
+    edges = citations.explode_references(papers)
+    hot = skew.hot_keys(edges, "ref_id", 0.05)
+    assert list(hot) == [0] and hot[0] in (10, 11)
+    rows = build_examples(papers, vectors, 2, 2)
+    assert len(re.findall(r"SortMergeJoin \[ref_id#\d+L, _copy#\d+\]", plan_of(rows))) == 2
+    assert sorted(rows.collect()) == want
+    dated = citations.reference_dates(edges, papers, hot=hot)
+    assert dated.rdd.mapPartitions(lambda it: [sum(r["ref_id"] == 0 for r in it)]).max() < 12_000
+    for f in (citations.available_references, citations.reference_dates):
+        assert sorted(f(edges, papers, hot=hot).collect()) == sorted(f(edges, papers, hot={}).collect())
+
+
+def test_no_hot_key_in_even_or_empty_data(spark):
+    assert skew.hot_keys(spark.range(1000), "id", 0.01) == {}
+    assert skew.hot_keys(spark.range(0), "id", 0.01) == {}
 
 
 def test_exported_slices_follow_the_papers(spark, sf):
