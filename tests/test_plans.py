@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from citeframe.operators import citations, skew
 from citeframe.operators.sequences import build_examples
+from citeframe.operators.slicing import time_slices
 from citeframe.plans import views
+from citeframe.sources import scratch
 
 
 def plan_of(df):
@@ -37,6 +39,18 @@ def test_rank_limit_runs_on_both_sides_of_the_shuffle(spark, sf):
     assert limits == ["Final", "Partial"]
 
 
+def test_time_ranges_reach_the_scan(spark, sf):
+    path = scratch.new_path(spark, "papers")
+    views.papers(spark, sf).write.parquet(path)
+    papers = spark.read.parquet(path)
+    vectors = views.vectors(spark, sf)
+    for df in (time_slices(papers, 1996, 1998), build_examples(papers, vectors, 4, 64, low=5, high=9)):
+        # The printed list is cut off after the first bound.
+        assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(publication_date_int,\d+\), Le", plan_of(df))
+    # The lookup of dates reads two columns of the papers.
+    assert "ReadSchema: struct<id:bigint,publication_date_int:bigint>" in plan_of(build_examples(papers, vectors, 4, 64))
+
+
 def test_vectors_are_shuffled_once_with_the_steps_and_once_assembled(spark, sf, conf):
     conf(autoBroadcastJoinThreshold="-1", adaptive__enabled="false")
     papers = spark.read.parquet(f"{sf}/orders.parquet").select(
