@@ -13,9 +13,9 @@ SEED = 2025
 
 
 def shuffle_key(id_col: str = "id", seed: int = SEED) -> Column:
-    """A 60-bit pseudo-random integer fixed by the id and the seed."""
+    """A 52-bit pseudo-random integer fixed by the id and the seed."""
     digest = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(id_col).cast("string")))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
 
 
 def batch_ids(

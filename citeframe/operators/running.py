@@ -5,12 +5,14 @@ here cut every group into consecutive chunks of a numeric order position, work c
 carry the totals of the earlier chunks over, so no task sees more than a chunk. The results are the
 same either way.
 
-``position`` must be a numeric column that grows with the sort order and is (nearly) unique inside a
-group, such as an id, a microsecond time or a hash key.
+``position`` must be a numeric column that grows with the sort order, such as an id, a microsecond time
+or a hash key. Where many rows of a group may share one position, ``tie`` is the numeric column that
+orders them; positions must then be exact as doubles (below 2**53).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -36,16 +38,36 @@ def chunks_needed(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_ROWS_P
     return max(2, -(-row["total"] // max_rows))
 
 
-def cut_into_chunks(df: DataFrame, position: Column, n_chunks: int) -> DataFrame:
-    """Adds ``_chunk``, which grows with ``position`` and holds about ``rows / n_chunks`` rows each."""
-    placed = df.withColumn("_position", position.cast("double"))
-    quantiles = [i / n_chunks for i in range(1, n_chunks)]
-    cuts = sorted(set(placed.approxQuantile("_position", quantiles, 1 / (4 * n_chunks))))
+def _bucket(df: DataFrame, column: str, cuts: Sequence[float], name: str) -> DataFrame:
+    """Adds the number of the interval between sorted cuts that a value falls in."""
+    cuts = sorted(set(cuts))
     if not cuts:
-        return placed.withColumn(_CHUNK, F.lit(0.0)).drop("_position")
+        return df.withColumn(name, F.lit(0.0))
     splits = [float("-inf"), *cuts, float("inf")]
-    cutter = Bucketizer(splits=splits, inputCol="_position", outputCol=_CHUNK, handleInvalid="keep")
-    return cutter.transform(placed).drop("_position")
+    return Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep").transform(df)
+
+
+def _quantiles(df: DataFrame, column: str, n_chunks: int) -> list[float]:
+    return df.approxQuantile(column, [i / n_chunks for i in range(1, n_chunks)], 1 / (4 * n_chunks))
+
+
+def cut_into_chunks(df: DataFrame, position: Column, n_chunks: int, tie: Column | None = None) -> DataFrame:
+    """Adds ``_chunk``, which grows with the sort order and holds about ``rows / n_chunks`` rows each.
+
+    A position that fills a chunk or more gets chunks of its own, cut by ``tie``.
+    """
+    placed = df.withColumn("_position", position.cast("double"))
+    cuts = _quantiles(placed, "_position", n_chunks)
+    crowded = sorted({a for a, b in zip(cuts, cuts[1:], strict=False) if a == b}) if tie is not None else []
+    cuts += [math.nextafter(v, math.inf) for v in crowded]
+    out = _bucket(placed, "_position", cuts, _CHUNK)
+    if crowded:
+        is_crowded = F.col("_position").isin(crowded)
+        tied = out.withColumn("_tie", F.when(is_crowded, tie.cast("double")).otherwise(F.lit(float("-inf"))))
+        tie_cuts = _quantiles(tied.where(is_crowded), "_tie", n_chunks)
+        part = _bucket(tied, "_tie", tie_cuts, "_part")
+        out = part.withColumn(_CHUNK, F.col(_CHUNK) * F.lit(n_chunks + 1) + F.col("_part")).drop("_tie", "_part")
+    return out.drop("_position")
 
 
 def running(
@@ -58,6 +80,7 @@ def running(
     n_chunks: int | None = None,
     max_rows: int = MAX_ROWS_PER_TASK,
     totals: bool = False,
+    tie: Column | None = None,
 ) -> DataFrame:
     """Adds a running ``sum`` or ``max`` per measure (``name -> (function, expression)``).
 
@@ -77,7 +100,7 @@ def running(
             added |= {f"{name}_total": _FUNCS[f](e).over(group) for name, (f, e) in measures.items()}
         return df.withColumns(added)
 
-    cut = cut_into_chunks(df, position, n_chunks)
+    cut = cut_into_chunks(df, position, n_chunks, tie)
     rows = cut.withColumns({_REAL: F.lit(1), **{f"_v_{name}": e for name, (_, e) in measures.items()}})
 
     # One row per (group, chunk), combined before the shuffle; a group has at most n_chunks of them.
@@ -108,13 +131,14 @@ def numbered(
     n_chunks: int | None = None,
     max_rows: int = MAX_ROWS_PER_TASK,
     totals: bool = False,
+    tie: Column | None = None,
 ) -> DataFrame:
     """Adds 1-based row numbers per group, without sending a hot group to one task.
 
     ``totals`` also adds ``{name}_total``, the number of rows of the group.
     """
     one = {name: ("sum", F.lit(1).cast("bigint"))}
-    return running(df, keys, order, position, one, False, n_chunks, max_rows, totals)
+    return running(df, keys, order, position, one, False, n_chunks, max_rows, totals, tie)
 
 
 def look_back(
@@ -126,6 +150,7 @@ def look_back(
     add: Callable[[DataFrame, WindowSpec], DataFrame],
     n_chunks: int | None = None,
     max_rows: int = MAX_ROWS_PER_TASK,
+    tie: Column | None = None,
 ) -> DataFrame:
     """Adds window columns that look at most ``reach`` rows back inside their group.
 
@@ -140,7 +165,7 @@ def look_back(
         return add(df, Window.partitionBy(*keys).orderBy(*order))
 
     size = max(max_rows, reach)
-    rows = numbered(df, keys, order, position, "_row", n_chunks)
+    rows = numbered(df, keys, order, position, "_row", n_chunks, tie=tie)
     own = F.call_function("div", F.col("_row") - 1, F.lit(size))
     shared = F.pmod(F.col("_row") - 1, F.lit(size)) >= size - reach
     spread = rows.withColumn("_own", own).withColumn(

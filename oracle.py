@@ -128,7 +128,7 @@ _CTE = {
     ),
     "shuffled": (
         f"""SELECT o_orderkey AS id,
-               ('0x' || substr(md5('{SEED}-' || o_orderkey::VARCHAR), 1, 15))::BIGINT AS key
+               ('0x' || substr(md5('{SEED}-' || o_orderkey::VARCHAR), 1, 13))::BIGINT AS key
         FROM orders""",
         (),
     ),

@@ -59,6 +59,18 @@ def test_chunks_are_even_and_ordered(skewed):
     assert all(a["max(id)"] < b["min(id)"] for a, b in zip(rows, rows[1:], strict=False))
 
 
+def test_one_crowded_position_is_cut_by_the_tie(skewed):
+    """Two thirds of the rows share a position; the tie column, here against the row order, cuts them."""
+    df = skewed.withColumn("t", F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(1500)).withColumn("e", -F.col("id"))
+    order, tie = [F.col("t"), F.col("e")], F.col("e")
+    for keys in ([], ["g"]):
+        whole = numbered(df, keys, order, F.col("t"), n_chunks=1)
+        assert rows_of(whole) == rows_of(numbered(df, keys, order, F.col("t"), n_chunks=10, tie=tie))
+    sizes = cut_into_chunks(df, F.col("t"), 10, tie).groupBy("_chunk").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 600
+    assert cut_into_chunks(df, F.col("t"), 10).groupBy("_chunk").count().agg(F.max("count")).first()[0] >= 2000
+
+
 @pytest.mark.parametrize("max_rows", [1, 7, 50, 400])
 def test_look_back(skewed, max_rows):
     def add(df, w):
