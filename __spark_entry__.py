@@ -301,6 +301,22 @@ def pr_curve(spark, sf_dir):
     return _rounded(metrics.pr_curve(views.scored(spark, sf_dir)))
 
 
+def fold_metrics(spark, sf_dir):
+    rows = metrics.binary_metrics(views.scored_folds(spark, sf_dir), by=["fold"])
+    return _rounded(_through_metric_files(spark, rows))
+
+
+def fold_pr_curves(spark, sf_dir):
+    return _rounded(metrics.pr_curve(views.scored_folds(spark, sf_dir), by=["fold"]))
+
+
+def _through_metric_files(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Writes one metric file per fold and reads all of them back."""
+    out = scratch.new_path(spark, "metrics")
+    shards.write_metrics(rows, out, views.FOLD_SETTINGS["test_size"])
+    return spark.read.option("header", True).schema(f"{shards.METRIC_SCHEMA}, span string").csv(out)
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
@@ -352,9 +368,7 @@ def lr_fold_metrics(spark, sf_dir):
         spark, examples_path, FOLDS, TIMEPOINTS, N_FEATURES, N_TRIALS, MAX_ITER,
         model_path=scratch.new_path(spark, "models"),
     )
-    out = scratch.new_path(spark, "metrics")
-    shards.write_metrics(rows, out, views.FOLD_SETTINGS["test_size"])
-    return spark.read.option("header", True).schema(f"{shards.METRIC_SCHEMA}, span string").csv(out)
+    return _through_metric_files(spark, rows)
 
 
 def lr_test_scores(spark, sf_dir):
@@ -377,6 +391,7 @@ _QUERIES = (
     fold_table, fold_roles, fold_roles_overlap, leakage_audit, leakage_audit_overlap,
     batch_ids, shuffled_batches, role_batches,
     binary_metrics, metrics_by_language, balanced_accuracy, log_loss, confusion, pr_curve,
+    fold_metrics, fold_pr_curves,
     rolling_gap, trial_log, unpromising_trials, unpromising_trials_min, early_stop_epoch, early_stop_epoch_min,
     best_trial, lr_search_best, lr_fold_metrics, lr_test_scores,
 )

@@ -78,8 +78,9 @@ def assign_roles(
     boundary: str = "exclusive",
     id_col: str = "id",
     date_col: str = "publication_date_int",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows ``(id, fold, role)``, one per role a paper has."""
+    """Rows ``(id, fold, role)`` and the kept columns, one per role a paper has."""
     cases = [
         F.when(
             in_role(f, role, boundary, date_col),
@@ -88,8 +89,8 @@ def assign_roles(
         for f in folds
         for role in ROLES
     ]
-    rows = papers.select(F.col(id_col).alias("id"), F.explode(F.array(*cases)).alias("r"))
-    return rows.where(F.col("r").isNotNull()).select("id", "r.fold", "r.role")
+    rows = papers.select(F.col(id_col).alias("id"), *keep, F.explode(F.array(*cases)).alias("r"))
+    return rows.where(F.col("r").isNotNull()).select("id", *keep, "r.fold", "r.role")
 
 
 def fold_table(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from citeframe.functions.references import format_reference_list
 from citeframe.functions.timeline import to_epoch_ns
+from citeframe.operators.folds import assign_roles, make_folds
 from citeframe.operators.history import trial_log
 
 # Settings of the registered queries.
@@ -54,7 +55,8 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers with two labels: a price above the mean of its year (null when the priority is not
-    specified) and whether the order is fulfilled. Money is summed in whole cents, so the mean is exact."""
+    specified) and whether the order is fulfilled, and a score made from the customer. Money is summed in
+    whole cents, so the mean is exact."""
     orders = (
         table(spark, sf_dir, "orders")
         .withColumn("year", F.year("o_orderdate"))
@@ -69,6 +71,7 @@ def labelled_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         _refs().alias("refs"),
         F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", above).alias("above_mean"),
         (F.col("o_orderstatus") == "F").cast("int").alias("fulfilled"),
+        (F.col("o_custkey") % 101 / 100.0).alias("score"),
     )
 
 
@@ -96,6 +99,12 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").join(docs, "doc_id").select(F.col("doc_id").alias("id"), F.col("quality").alias("y"), "p")
 
 
+def scored_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(fold, id, y, p)``: the first label of the test papers of each fold against their score."""
+    roles = assign_roles(labelled_papers(spark, sf_dir), make_folds(**FOLD_SETTINGS), keep=["above_mean", "score"])
+    return roles.where(F.col("role") == "test").select("fold", "id", F.col("above_mean").alias("y"), F.col("score").alias("p"))
+
+
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(trial, epoch, score)``: the events of a user in time order."""
     return trial_log(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", "value")

@@ -113,6 +113,12 @@ _CTE = {
         FROM labels l JOIN documents d USING (doc_id)""",
         (),
     ),
+    "scored_folds": (
+        """SELECT r.fold, r.id, p.above_mean AS y, (o.o_custkey % 101)::DOUBLE / 100 AS p
+        FROM roles r JOIN papers p USING (id) JOIN orders o ON o.o_orderkey = r.id
+        WHERE r.role = 'test' AND p.above_mean IS NOT NULL""",
+        ("roles",),
+    ),
     "losses": (
         """SELECT *, -(y * ln(least(greatest(p, 1e-7), 1 - 1e-7))
                        + (1 - y) * ln(1.0::DOUBLE - least(greatest(p, 1e-7), 1 - 1e-7))) AS loss,
@@ -120,6 +126,13 @@ _CTE = {
         FROM scored""",
         ("scored",),
     ),
+    "fold_losses": (
+        """SELECT *, -(y * ln(least(greatest(p, 1e-7), 1 - 1e-7))
+                       + (1 - y) * ln(1.0::DOUBLE - least(greatest(p, 1e-7), 1 - 1e-7))) AS loss,
+               (p > 0.5)::INTEGER AS y_pred
+        FROM scored_folds""",
+        ("scored_folds",),
+    ),
     "trials": (
         """SELECT user_id AS trial, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS epoch,
                value AS score
@@ -330,6 +343,19 @@ ORACLE_SQL = {
         ) UNION ALL SELECT NULL, 1.0, 0.0""",
         "scored",
     ),
+    "fold_metrics": _with(
+        f"""SELECT fold, (fold - 1)::VARCHAR || '-' || fold::VARCHAR AS span, {_METRICS} FROM fold_losses GROUP BY fold""",
+        "fold_losses",
+    ),
+    "fold_pr_curves": _with(
+        """SELECT fold, threshold, round(tp / predicted, 6) AS precision, round(tp / positives, 6) AS recall
+        FROM (
+            SELECT fold, p AS threshold, sum(sum(y)) OVER w::DOUBLE AS tp, sum(count(*)) OVER w AS predicted,
+                   sum(sum(y)) OVER (PARTITION BY fold) AS positives
+            FROM scored_folds GROUP BY fold, p WINDOW w AS (PARTITION BY fold ORDER BY p DESC)
+        ) UNION ALL SELECT DISTINCT fold, NULL, 1.0, 0.0 FROM scored_folds""",
+        "scored_folds",
+    ),
     "rolling_gap": """SELECT event_id, user_id, gap_us,
             round(avg(gap_us) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 3) AS mean_gap_us
         FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_us FROM events)""",
