@@ -29,9 +29,14 @@ def year_start_ns(year: int) -> int:
     return (dt.date(year, 1, 1) - dt.date(1970, 1, 1)).days * DAY_NS
 
 
+def to_epoch_us(ts: Column) -> Column:
+    """``timestamp_ntz`` to epoch microseconds."""
+    return F.timestamp_diff("MICROSECOND", _epoch(), ts)
+
+
 def to_epoch_ns(ts: Column) -> Column:
     """``timestamp_ntz`` to epoch nanoseconds."""
-    return F.timestamp_diff("MICROSECOND", _epoch(), ts) * F.lit(1000)
+    return to_epoch_us(ts) * F.lit(1000)
 
 
 def from_epoch_ns(ns: Column) -> Column:

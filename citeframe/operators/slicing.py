@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeframe.functions.timeline import ceil_div, year_of_ns, year_start_ns, year_to_ns
+from citeframe.functions.timeline import ceil_div, ceil_div_col, year_of_ns, year_start_ns, year_to_ns
 from citeframe.operators.running import MAX_ROWS_PER_TASK, numbered
 
 
@@ -56,7 +56,8 @@ def select_shards(manifest: DataFrame, t_min: int, t_max: int, boundary: str = "
     return manifest.where(meets(t_min, t_max, boundary))
 
 
-def meets(t_min: int, t_max: int, boundary: str):
+def meets(t_min: int, t_max: int, boundary: str) -> Column:
+    """Whether a row's slice meets a time range, see :func:`select_shards`."""
     start, end = F.col("slice_start"), F.col("slice_end")
     if boundary == "overlap":
         return (end >= F.lit(t_min)) & (start <= F.lit(t_max))
@@ -68,6 +69,6 @@ def meets(t_min: int, t_max: int, boundary: str):
 def example_count(manifest: DataFrame, t_min: int, t_max: int, batch_size: int, boundary: str = "overlap") -> DataFrame:
     """One row: examples in the chosen shards and the batches one pass over them takes."""
     total = F.coalesce(F.sum("n_examples"), F.lit(0).cast("bigint"))
-    steps = F.call_function("div", total + F.lit(batch_size - 1), F.lit(batch_size))
+    steps = ceil_div_col(total, batch_size)
     chosen = select_shards(manifest, t_min, t_max, boundary)
     return chosen.agg(total.alias("n_examples"), steps.alias("n_batches"))

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeframe.functions.references import WORK_PREFIX, parse_reference_list
-from citeframe.functions.vectors import conform, feature_columns
+from citeframe.functions.vectors import feature_columns
 
 
 def open_dataset(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -34,6 +35,15 @@ def scan_in(df: DataFrame, cols: Sequence[str], keys: DataFrame | Sequence, key_
     return df.where(F.col(key_col).isin(list(keys))).select(*cols)
 
 
+def conform(df: DataFrame, schema: str) -> DataFrame:
+    """Cast to an explicit schema given as DDL; a missing column is an error, others are dropped."""
+    wanted = T.StructType.fromDDL(schema)
+    missing = [f.name for f in wanted if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
+
+
 def papers_schema(
     n_features: int,
     id_col: str = "id",

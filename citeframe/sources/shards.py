@@ -32,12 +32,17 @@ def write_shards(examples: DataFrame, path: str, rows_per_shard: int, overwrite:
     writer.partitionBy(*SLICE_KEYS).parquet(path)
 
 
+def _slices_as_bigint(df: DataFrame) -> DataFrame:
+    """Directory values near 1970 are short numbers, which a reader takes for int."""
+    return df.withColumns({c: F.col(c).cast("bigint") for c in SLICE_KEYS})
+
+
 def write_manifest(spark: SparkSession, examples_path: str, manifest_path: str, overwrite: bool = False) -> None:
     """Counts the written shards and puts them in place of the same slices of the manifest.
 
     The count reads the ``shard`` column alone. It covers what is on storage, not what was planned.
     """
-    counts = shard_counts(spark.read.parquet(examples_path).select(*SHARD_KEYS))
+    counts = shard_counts(_slices_as_bigint(spark.read.parquet(examples_path)).select(*SHARD_KEYS))
     (
         counts.write.mode("overwrite")
         .option("partitionOverwriteMode", "static" if overwrite else "dynamic")
@@ -47,7 +52,7 @@ def write_manifest(spark: SparkSession, examples_path: str, manifest_path: str,
 
 
 def read_manifest(spark: SparkSession, manifest_path: str) -> DataFrame:
-    return spark.read.parquet(manifest_path).select(*[F.col(c).cast("bigint").alias(c) for c in SLICE_KEYS], "shard", "n_examples")
+    return _slices_as_bigint(spark.read.parquet(manifest_path)).select(*SHARD_KEYS, "n_examples")
 
 
 def read_shards(
@@ -72,7 +77,7 @@ def read_shards(
             df = df.where((F.col(date_col) >= F.lit(t_min)) & (F.col(date_col) < F.lit(t_max)))
     if df.select("shard").isEmpty():
         raise ValueError(f"no examples in {path} for this range")
-    return df.withColumn("features", checked_width(F.col("features"), timepoints, n_features))
+    return _slices_as_bigint(df).withColumn("features", checked_width(F.col("features"), timepoints, n_features))
 
 
 def wide_row_settings(

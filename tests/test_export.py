@@ -100,3 +100,16 @@ def test_metric_files(spark):
 def test_settings_for_wide_rows():
     got = shards.wide_row_settings(100_000_000, 50, 384)
     assert got == {"spark.sql.shuffle.partitions": "29183", "spark.sql.parquet.columnarReaderBatchSize": "856"}
+
+
+def test_a_slice_that_starts_at_the_epoch_keeps_its_type(spark):
+    papers = spark.createDataFrame([(1, 5, [], 1), (2, 6, [1], 0)], "id bigint, publication_date_int bigint, refs array<bigint>, y int")
+    vectors = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "id bigint, embedding array<float>")
+    out = scratch.new_path(spark, "examples"), scratch.new_path(spark, "manifest")
+    export(sharded_examples(papers, vectors, 1970, 1971, 1, 1, 1, 1, ["y"]), *out, 1, overwrite=True)
+    rows = shards.read_shards(spark, out[0], 1, 1)
+    assert dict(rows.dtypes)["slice_start"] == "bigint"
+    assert {r["id"]: r["features"] for r in rows.collect()} == {1: [0.0, 1.0], 2: [1.0, 2.0]}
+    assert sorted(map(tuple, shards.read_manifest(spark, out[1]).collect())) == [
+        (0, year_start_ns(1971), 0, 1), (0, year_start_ns(1971), 1, 1),
+    ]
