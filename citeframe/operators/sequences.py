@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from citeframe.functions.vectors import assemble, clean_vector, pad_vector, target_vector
 from citeframe.operators.citations import rank_references, reference_dates
 from citeframe.operators.skew import hot_keys, lookup_join, splits_skew
-from citeframe.sources.datasets import scan_range
+from citeframe.sources.datasets import scan_in, scan_range
+
+# Ids of at most this many steps, 8 bytes each, may be broadcast.
+MAX_BROADCAST_KEYS = 2_000_000
 
 
 def build_examples(
@@ -30,6 +33,7 @@ def build_examples(
     vector_col: str = "embedding",
     fill_labels: float | None = None,
     hot: Mapping[int, int] | None = None,
+    broadcast_keys: int = MAX_BROADCAST_KEYS,
 ) -> DataFrame:
     """One row ``(group_keys, id, date, features, target)`` per focal paper.
 
@@ -41,6 +45,8 @@ def build_examples(
     descending sort of at most ``timepoints + 1`` steps gives the final layout.
     With ``group_keys`` (a shard, say) the only shuffle of vector rows is by those keys, which is also
     the layout a partitioned write wants.
+    When the steps of a date range number at most ``broadcast_keys``, their ids are broadcast and filter the
+    vector scan, so a small range does not shuffle the whole table. The count is checked first.
     ``hot`` names much-cited papers to spread (see ``operators/skew``); by default the session decides.
     """
     keys = list(group_keys)
@@ -67,7 +73,10 @@ def build_examples(
     ranked = rank_references(dated, timepoints + 1, first=[F.col("_is_ref")])
     ranked = ranked.withColumn("own_date", F.when(~F.col("_is_ref"), F.col("ref_date"))).drop("_is_ref", "ref_date")
 
-    lookup = vectors.select(
+    needed = vectors
+    if (low is not None or high is not None) and steps.count() <= broadcast_keys:
+        needed = scan_in(vectors, vectors.columns, F.broadcast(steps.select("ref_id")), id_col)
+    lookup = needed.select(
         F.col(id_col).alias("ref_id"), clean_vector(F.col(vector_col), n_features, pad).alias("embedding")
     )
     placed = lookup_join(ranked, lookup, "ref_id", "id", "left", hot).withColumn(

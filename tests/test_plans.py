@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from citeframe.functions.timeline import year_start_ns
 from citeframe.operators import citations, skew
 from citeframe.operators.sequences import build_examples
 from citeframe.operators.slicing import time_slices
@@ -51,6 +52,17 @@ def test_time_ranges_reach_the_scan(spark, sf):
     assert "ReadSchema: struct<id:bigint,publication_date_int:bigint>" in plan_of(build_examples(papers, vectors, 4, 64))
 
 
+def test_a_small_range_filters_the_vector_scan(spark, sf):
+    """The ids are broadcast only while their number is under the limit; the examples are the same."""
+    papers, vectors = views.papers(spark, sf), views.vectors(spark, sf)
+    low, high = year_start_ns(1996), year_start_ns(1997)
+    few = build_examples(papers, vectors, 4, 64, low=low, high=high)
+    many = build_examples(papers, vectors, 4, 64, low=low, high=high, broadcast_keys=100)
+    assert re.search(r"BroadcastHashJoin .*LeftSemi", plan_of(few))
+    assert "LeftSemi" not in plan_of(many) and "LeftSemi" not in plan_of(build_examples(papers, vectors, 4, 64))
+    assert sorted(few.collect()) == sorted(many.collect())
+
+
 def test_vectors_are_shuffled_once_with_the_steps_and_once_assembled(spark, sf, conf):
     conf(autoBroadcastJoinThreshold="-1", adaptive__enabled="false")
     papers = spark.read.parquet(f"{sf}/orders.parquet").select(
