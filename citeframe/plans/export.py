@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from citeframe.operators.running import MAX_ROWS_PER_TASK
 from citeframe.operators.sequences import build_examples
 from citeframe.operators.slicing import assign_shards, time_slices
 from citeframe.sources.shards import SHARD_KEYS, write_manifest, write_shards
@@ -22,14 +23,15 @@ def sharded_examples(
     n_features: int,
     y_cols: Sequence[str] = (),
     pad: float = 0.0,
+    max_rows: int = MAX_ROWS_PER_TASK,
     **options,
 ) -> DataFrame:
     """Examples of all slices with their shard, laid out by shard.
 
     Shards are numbered on thin paper rows. The vector rows are then shuffled once, by shard, which
-    both the assembly and the partitioned write use.
+    both the assembly and the partitioned write use. Slices above ``max_rows`` papers are numbered in chunks.
     """
-    sharded = assign_shards(time_slices(papers, start_year, end_year, delta), rows_per_shard)
+    sharded = assign_shards(time_slices(papers, start_year, end_year, delta), rows_per_shard, max_rows=max_rows)
     return build_examples(
         papers, vectors, timepoints, n_features, y_cols, pad, focal=sharded, group_keys=SHARD_KEYS, **options
     )

@@ -35,7 +35,7 @@ def _refs() -> Column:
     key, step, n = F.col("o_orderkey"), F.col("o_custkey") % 50 + 1, (F.col("o_custkey") % 9).cast("int")
     priority = F.col("o_orderpriority")
     none = F.array().cast("array<bigint>")
-    near = F.transform(F.slice(F.sequence(F.lit(1), F.lit(8)), F.lit(1), n), lambda i: F.abs(key - i * step))
+    near = F.slice(F.array(*[F.abs(key - step * i) for i in range(1, 9)]), F.lit(1), n)
     popular = F.when(priority == "1-URGENT", F.array(F.lit(0).cast("bigint"))).otherwise(none)
     again = F.when(priority == "2-HIGH", F.slice(near, 1, 1)).otherwise(none)
     outside = F.when(priority == "5-LOW", F.array(key + _OUTSIDE)).otherwise(none)

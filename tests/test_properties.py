@@ -57,6 +57,8 @@ def test_examples_match_the_rules(spark, seed, k, pad):
     assert {r["id"]: r["target"] for r in rows} == {i: [label] for i, _, _, label in papers}
 
     sharded = sharded_examples(p, v, 1995, 2003, 1, 10, k, 3, ["label"], pad).collect()
+    chunked = sharded_examples(p, v, 1995, 2003, 1, 10, k, 3, ["label"], pad, max_rows=20).collect()
+    assert sorted(map(str, chunked)) == sorted(map(str, sharded))
     dated = {i for i, date, _, _ in papers if date is not None}
     assert {r["id"]: r["features"] for r in sharded} == {i: want[i] for i in dated}
     sizes = {}
