@@ -20,10 +20,12 @@ SHARD_KEYS = (*SLICE_KEYS, "shard")
 def write_shards(examples: DataFrame, path: str, rows_per_shard: int, overwrite: bool = False) -> None:
     """Writes examples below ``slice_start=/slice_end=``, at most ``rows_per_shard`` rows per file.
 
-    ``overwrite`` drops the whole output first; otherwise only the slices present are replaced.
+    ``overwrite`` drops the whole output first; otherwise only the slices present are replaced. The sort is the
+    one a partitioned write needs, with the shard added, so the rows of a shard lie together.
     """
     writer = (
-        examples.write.mode("overwrite")
+        examples.sortWithinPartitions(*SHARD_KEYS)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "static" if overwrite else "dynamic")
         .option("maxRecordsPerFile", rows_per_shard)
         # Embedding values hardly repeat, so a dictionary would only be built and thrown away.

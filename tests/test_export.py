@@ -113,3 +113,12 @@ def test_a_slice_that_starts_at_the_epoch_keeps_its_type(spark):
     assert sorted(map(tuple, shards.read_manifest(spark, out[1]).collect())) == [
         (0, year_start_ns(1971), 0, 1), (0, year_start_ns(1971), 1, 1),
     ]
+
+
+def test_rows_of_a_shard_lie_together(spark, paths):
+    place = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row"))
+    rows = spark.read.parquet(paths[0]).select("slice_start", "shard", place.alias("place")).collect()
+    order = [(r["slice_start"], r["shard"]) for r in sorted(rows, key=lambda r: (r["place"]["file"], r["place"]["row"]))]
+    starts = [b for a, b in zip([None, *order], order, strict=False) if a != b]
+    files = {r["place"]["file"] for r in rows}
+    assert len(starts) <= len(set(order)) + len(files)
