@@ -18,6 +18,14 @@ from citeframe.sources import datasets, scratch, shards
 from citeframe.streaming import examples as lazy
 from oracle import ORACLE_SQL
 
+try:
+    import corpus_pipeline
+    from citeframe.llm import queries as llm
+except ModuleNotFoundError as missing:  # these parts can be taken out; what else is missing is an error
+    if (missing.name or "").partition(".")[0] not in ("corpus_pipeline", "citeframe"):
+        raise
+    llm = corpus_pipeline = None
+
 FOLDS = folds.make_folds(**views.FOLD_SETTINGS)
 FIRST = FOLDS[0]
 N_TRIALS = 4
@@ -403,8 +411,16 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _QUERIES}
+    named = {q.__name__: q for q in _QUERIES}
+    if llm:
+        named |= llm.QUERIES | {"pipeline": corpus_pipeline.run}
+    return named
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    found = dict(ORACLE_SQL)
+    if llm:
+        found |= llm.ORACLE_SQL
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
