@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeframe.llm import chat, sharding
+from citeframe.llm import chat, sharding, simhash
 from citeframe.plans.views import table
 from citeframe.sources import scratch
 
@@ -46,6 +46,12 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+    digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
+    return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), "component_id")
+
+
 _FAMILY = chat.LLAMA_STYLE.family.replace("'", "''")
 _FRAME = len(chat.LLAMA_STYLE.open_turn + chat.LLAMA_STYLE.close_role + chat.GAP + chat.LLAMA_STYLE.end_turn)
 
@@ -70,4 +76,4 @@ ORACLE_SQL = {
           formatted_chars, n_escaped FROM c""",
 }
 
-QUERIES = {q.__name__: q for q in (op1_sharding, op4_chat_formatting)}
+QUERIES = {q.__name__: q for q in (op1_sharding, op4_chat_formatting, op10_simhash_near_dedup)}
