@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeframe.llm import chat, sharding, simhash
+from citeframe.llm import chat, quality, sharding, simhash
 from citeframe.plans.views import table
 from citeframe.sources import scratch
 
@@ -46,6 +46,15 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), quality.score(F.col("text"), model).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
     digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
@@ -76,4 +85,4 @@ ORACLE_SQL = {
           formatted_chars, n_escaped FROM c""",
 }
 
-QUERIES = {q.__name__: q for q in (op1_sharding, op4_chat_formatting, op10_simhash_near_dedup)}
+QUERIES = {q.__name__: q for q in (op1_sharding, op4_chat_formatting, op7_quality_classifier, op10_simhash_near_dedup)}

@@ -1,0 +1,66 @@
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from citeframe.llm import quality, queries
+
+
+def test_features_read_the_whole_text(monkeypatch):
+    text = "Some words are here. " * 400 + "!!! ### " * 300 + "ñandú\n" * 20
+    want = quality.features(text)
+    monkeypatch.setattr(quality, "PIECE", 1000)
+    assert np.allclose(quality.features(text), want)
+    assert not np.allclose(quality.features(text[: len(text) // 2]), want)
+    assert np.isfinite(quality.features(None)).all()
+    assert (quality.features(None) == quality.features("")).all()
+
+
+def mixture(n, prior, rng):
+    y = rng.random(n) < prior
+    x = rng.normal(0, 1, (n, quality.N_FEATURES)) * 0.3
+    x[:, 0] += np.where(y, 1.5, -1.5)
+    return x, y
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.6, 0.85])
+def test_prior_and_separation_without_negative_labels(prior):
+    rng = np.random.default_rng(1)
+    positives, _ = mixture(4000, 1.0, rng)
+    unlabelled, y = mixture(4000, prior, rng)
+    model = quality.fit(positives, unlabelled)
+    assert abs(model.prior - prior) < 0.06
+    predicted = model.scores(unlabelled) >= 0.5
+    assert (predicted == y).mean() > 0.9  # 145 of 146 features are noise
+
+
+def test_no_rows_to_learn_from():
+    model = quality.fit(np.zeros((0, quality.N_FEATURES)), np.zeros((0, quality.N_FEATURES)))
+    assert model.scores(np.array([quality.features("x")]))[0] == pytest.approx(0.5)
+
+
+def test_odd_rows(spark, sf):
+    rows = [(1, "good words in a row " * 30), (1, "good words in a row " * 30), (2, None), (None, "text"), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(1, 1, 0), (1, None, 0), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    model = quality.train(docs, labels)
+    scores = [r[0] for r in docs.select(quality.score(F.col("text"), model).alias("s")).collect()]
+    assert len(scores) == 5 and all(0 <= s <= 1 for s in scores)
+    assert quality.train(docs.limit(0), labels.limit(0)).prior == 0.5
+    assert [r[0] for r in docs.select(quality.held_out(F.col("doc_id"))).collect()][3] is True
+
+
+def test_held_out_rows_are_told_apart(spark):
+    sf = "/root/testdata/sf0.1"
+    found = queries.op7_quality_classifier(spark, sf).collect()
+    assert len(found) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found)
+    assert all(r.predicted == (r.score >= 0.3) for r in found)
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [r for r in found if r.held_out and r.doc_id in label]
+    good = np.array([r.score for r in held if label[r.doc_id] == 1])
+    bad = np.array([r.score for r in held if label[r.doc_id] == 0])
+    auc = (np.searchsorted(np.sort(bad), good) / len(bad)).mean()
+    assert auc > 0.99
+    assert (good >= 0.3).mean() > 0.99 and (bad < 0.3).mean() > 0.9
