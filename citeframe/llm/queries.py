@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeframe.llm import chat, quality, sharding, simhash
+from citeframe.llm import chat, quality, sharding, simhash, suffixes
 from citeframe.plans.views import table
 from citeframe.sources import scratch
 
@@ -31,6 +31,16 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    length = F.aggregate("removed", F.lit(0).cast("bigint"), lambda total, run: total + run["end"] - run["start"])
+    done = suffixes.remove_repeats(spark, docs).withColumn("n_removed", length)
+    return done.select(
+        "doc_id", (F.octet_length("kept") + F.col("n_removed")).alias("n_bytes"), "n_removed",
+        F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(
@@ -85,4 +95,7 @@ ORACLE_SQL = {
           formatted_chars, n_escaped FROM c""",
 }
 
-QUERIES = {q.__name__: q for q in (op1_sharding, op4_chat_formatting, op7_quality_classifier, op10_simhash_near_dedup)}
+_ALL = (
+    op1_sharding, op3_suffix_array_dedup, op4_chat_formatting, op7_quality_classifier, op10_simhash_near_dedup,
+)
+QUERIES = {q.__name__: q for q in _ALL}
