@@ -327,7 +327,9 @@ def near_duplicates(
     named = points.join(tied.select("fingerprint", "root").join(least, "root"), "fingerprint", "left").select(
         "fingerprint", F.coalesce("root", "fingerprint").alias("cluster"), F.coalesce("component_least", "least").alias("component_id")
     )
-    return rows.join(named, "fingerprint").select("id", "text_md5", "fingerprint", "cluster", "component_id")
+    path = scratch.new_path(spark, "clusters")  # read again, so that the join below can split a fingerprint many rows share
+    named.write.parquet(path)
+    return rows.join(spark.read.parquet(path), "fingerprint").select("id", "text_md5", "fingerprint", "cluster", "component_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
