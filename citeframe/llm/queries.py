@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeframe.llm import chat, quality, sharding, simhash, suffixes
+from citeframe.llm import chat, decontamination, quality, sharding, simhash, suffixes
 from citeframe.plans.views import table
 from citeframe.sources import scratch
 
@@ -56,6 +56,17 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    n_hit = decontamination.n_covered(F.col("hits"))
+    return found.select(
+        "doc_id", F.col("n_words").cast("bigint").alias("n_words"), n_hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -74,7 +85,27 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FAMILY = chat.LLAMA_STYLE.family.replace("'", "''")
 _FRAME = len(chat.LLAMA_STYLE.open_turn + chat.LLAMA_STYLE.close_role + chat.GAP + chat.LLAMA_STYLE.end_turn)
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL = {
+    "op5_benchmark_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        k AS (SELECT item_id, w, least(10, len(w)) AS l FROM i WHERE len(w) > 0),
+        windows AS (
+          SELECT DISTINCT item_id, l, array_to_string(w[s:s + l - 1], ' ') AS t
+          FROM (SELECT *, unnest(range(1, len(w) - l + 2)) AS s FROM k)),
+        places AS (
+          SELECT r, l, p, array_to_string(w[p:p + l - 1], ' ') AS t
+          FROM (SELECT r, w, l, unnest(range(1, len(w) - l + 2)) AS p FROM d, (SELECT DISTINCT l FROM k))),
+        found AS (SELECT r, item_id, p, l FROM places JOIN windows USING (l, t)),
+        hit AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + l)) AS q FROM found) GROUP BY r),
+        ids AS (
+          SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS x
+          FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM found) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+          sha256(coalesce(x, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)""",
     "op4_chat_formatting": rf"""
         WITH t AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -96,6 +127,7 @@ ORACLE_SQL = {
 }
 
 _ALL = (
-    op1_sharding, op3_suffix_array_dedup, op4_chat_formatting, op7_quality_classifier, op10_simhash_near_dedup,
+    op1_sharding, op3_suffix_array_dedup, op4_chat_formatting, op5_benchmark_decontamination,
+    op7_quality_classifier, op10_simhash_near_dedup,
 )
 QUERIES = {q.__name__: q for q in _ALL}

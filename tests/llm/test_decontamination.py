@@ -1,0 +1,88 @@
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from citeframe.llm import decontamination, queries
+
+ITEMS = "item_id bigint, text string"
+DOCS = "doc_id bigint, text string"
+
+
+def plain_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def plain(docs, items):
+    out = []
+    for doc_id, text in docs:
+        w, hit, found = plain_words(text), set(), set()
+        for item_id, item in items:
+            v = plain_words(item)
+            n = min(10, len(v))
+            windows = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if v else set()
+            for p in range(len(w) - n + 1) if v else ():
+                if tuple(w[p : p + n]) in windows:
+                    hit |= set(range(p, p + n))
+                    if item_id is not None:
+                        found.add(item_id)
+        ids = ",".join(sorted(map(str, found)))
+        out.append((doc_id, len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def outcome(df):
+    ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    rows = df.select("doc_id", "n_words", decontamination.n_covered(F.col("hits")), F.size("items"), F.sha2(ids, 256)).collect()
+    return sorted((tuple(r) for r in rows), key=str)
+
+
+def corpus():
+    rng = random.Random(2)
+    vocabulary = ["a", "b", "c", "the", "of", "É", "é", "Ünder", "x1", "42", "ſ", "K"]
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, say(n)) for i, n in enumerate([1, 2, 5, 9, 10, 11, 12, 30, 30, 80])]
+    items += [(3, say(14)), (None, say(12)), (50, ""), (51, None), (52, "... !!"), (53, items[7][1]), (54, "a a a a a a a a a a a a a")]
+    docs = [(i, say(rng.randrange(0, 120))) for i in range(60)]
+    docs += [(100 + i, f"{say(5)}! {t or ''}, {say(6)}") for i, (_, t) in enumerate(items)]
+    docs += [(200, items[9][1].upper()), (200, items[9][1]), (None, items[8][1]), (201, None), (202, ""), (203, " -- "), (204, "a " * 40)]
+    half = items[9][1].split()
+    docs += [(205, " ".join([*half[:9], "zz", *half[9:18], "zz", *half[20:40]])), (206, " ".join(half[4:14])), (207, " ".join(half[4:13]))]
+    return docs, items
+
+
+@pytest.mark.parametrize("broadcast", [decontamination.BROADCAST, 40])
+def test_same_as_comparing_every_window(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontamination, "BROADCAST", broadcast)
+    docs, items = corpus()
+    d = spark.createDataFrame(docs, DOCS).withColumn("pos", F.lit("clash")).withColumn("row", F.lit(1))
+    i = spark.createDataFrame(items, ITEMS).withColumn("term", F.lit(0)).withColumn("item", F.lit(0))
+    assert outcome(decontamination.contamination(spark, d, i)) == plain(docs, items)
+
+
+def test_empty_tables(spark):
+    docs, items = corpus()
+    d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    assert outcome(decontamination.contamination(spark, d, i.limit(0))) == plain(docs, [])
+    assert decontamination.contamination(spark, d.limit(0), i).count() == 0
+
+
+def test_near_phrases(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
+    w = item.split()
+    edited = " ".join(["so", *w[:6], "well", *w[6:15], "yes", *w[16:]])
+    shuffled = " ".join(reversed(w))
+    docs = spark.createDataFrame([(1, item), (2, edited), (3, shuffled), (4, "alpha beta"), (5, None)], DOCS)
+    bench = spark.createDataFrame([(7, item)], ITEMS)
+    index, wanted = decontamination.build(spark, docs, bench)
+    ids = dict(index.filter("term = ''").select("row", "doc_id").collect())
+    near = {ids[r.row] for r in decontamination.proximity_matches(index, wanted, slack=1, share=0.5).collect()}
+    assert near >= {1, 2} and 3 not in near and 4 not in near
+    assert {ids[r.row] for r in decontamination.phrase_matches(index, wanted).collect()} == {1}
+
+
+def test_no_python_on_the_main_path(spark, sf, capsys):
+    queries.op5_benchmark_decontamination(spark, sf).explain()
+    assert "Python" not in capsys.readouterr().out
