@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeframe.llm import chat, decontamination, html_text, quality, sharding, simhash, suffixes
+from citeframe.llm import chat, decontamination, html_text, neighbours, quality, sharding, simhash, suffixes
 from citeframe.plans.views import table
 from citeframe.sources import scratch
 
@@ -76,6 +76,11 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest_neighbours(spark, vectors, F.col("vec_id") % 100 == 0)
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -132,6 +137,6 @@ ORACLE_SQL = {
 
 _ALL = (
     op1_sharding, op3_suffix_array_dedup, op4_chat_formatting, op5_benchmark_decontamination,
-    op7_quality_classifier, op9_html_extraction, op10_simhash_near_dedup,
+    op7_quality_classifier, op8_nearest_neighbours, op9_html_extraction, op10_simhash_near_dedup,
 )
 QUERIES = {q.__name__: q for q in _ALL}

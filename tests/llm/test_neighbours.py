@@ -1,0 +1,88 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from citeframe.llm import neighbours, queries
+
+SCHEMA = "vec_id bigint, embedding array<float>"
+
+
+def exact(ids, x, asked, k):
+    out = {}
+    for i, q in zip(ids, x, strict=True):
+        if i in asked:
+            d = np.sqrt(((x - q) ** 2).sum(axis=1))
+            order = [n for n in np.lexsort((ids, d)) if ids[n] != i][:k]
+            out[i] = [(int(ids[n]), float(d[n])) for n in order]
+    return out
+
+
+def by_query(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: (r.query_id, r.rank)):
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r.rank == len(out[r.query_id])
+    return out
+
+
+def recall(got, want):
+    hits = sum(len({v for v, _ in got.get(q, [])} & {v for v, _ in w}) for q, w in want.items())
+    return hits / sum(map(len, want.values()))
+
+
+def test_chi_square():
+    assert neighbours.chi_square_cdf(2 * math.log(2), 2) == pytest.approx(0.5)
+    assert neighbours.chi_square_quantile(0.95, 8) == pytest.approx(15.5073, abs=1e-3)
+    assert neighbours.chi_square_quantile(0.95, 1) == pytest.approx(3.8415, abs=1e-3)
+
+
+def test_tree_sends_points_to_balanced_cells():
+    x = np.random.default_rng(0).normal(size=(4000, neighbours.M))
+    tree = neighbours.build_tree(x, 16)
+    assert np.bincount(tree.cells(x), minlength=16).max() <= 300
+    assert neighbours.build_tree(x[:0], 4).cells(x[:3]).tolist() == neighbours.build_tree(x[:0], 4).cells(x[:3]).tolist()
+
+
+@pytest.mark.parametrize("cell, block", [(100, 10_000), (400, 60)])
+def test_recall_and_scores(spark, monkeypatch, cell, block):
+    monkeypatch.setattr(neighbours, "CELL", cell)
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([c + 0.2 * rng.normal(size=(150, 24)) for c in rng.normal(size=(14, 24))]).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    got = by_query(neighbours.nearest_neighbours(spark, df, F.col("vec_id") % 20 == 0).collect())
+    want = exact(np.arange(len(x)), x.astype(np.float64), set(range(0, len(x), 20)), 10)
+    assert set(got) == set(want)
+    assert recall(got, want) >= 0.95
+    for q, found in got.items():
+        for v, s in found:
+            assert s == pytest.approx(np.sqrt(((x[q].astype(float) - x[v].astype(float)) ** 2).sum()), abs=1e-12)
+
+
+def test_copies_odd_vectors_and_ties(spark):
+    one, two = [1.0, 0.0, 2.0], [1.0, 0.5, 2.0]
+    rows = [(i, one) for i in range(0, 60)] + [(100 + i, two) for i in range(3)] + [(0, one)]
+    rows += [(400, None), (500, [0.0, 0.0, 0.0]), (600, [1.0, None, 2.0]), (700, [1.0, float("nan"), 1.0])]
+    rows += [(800, [1.0, float("inf"), 1.0]), (900, [1.0, 2.0]), (None, one), (1000, [])]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("v", F.lit("clash")).withColumn("p", F.lit(0))
+    got = by_query(neighbours.nearest_neighbours(spark, df, F.col("vec_id") % 20 == 0).collect())
+    assert set(got) == {0, 20, 40, 100}
+    assert got[0] == [(i, 0.0) for i in range(1, 11)]
+    assert got[20] == [(i, 0.0) for i in range(10)]
+    assert got[100] == [(101, 0.0), (102, 0.0), *((i, 0.5) for i in range(8))]
+    few = neighbours.nearest_neighbours(spark, df.filter("vec_id in (100, 101, 400)"), F.col("vec_id") == 100).collect()
+    assert [(r.vec_id, r.score) for r in few] == [(101, 0.0)]
+    assert neighbours.nearest_neighbours(spark, df.limit(0), F.lit(True)).count() == 0
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.1"
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in table]), np.array([r.embedding for r in table], dtype=np.float64)
+    want = exact(ids, x, {i for i in ids.tolist() if i % 100 == 0}, 10)
+    got = by_query(queries.op8_nearest_neighbours(spark, sf).collect())
+    assert set(got) == set(want) and all(len(v) == 10 for v in got.values())
+    assert recall(got, want) >= 0.95
