@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeframe.llm import chat, decontamination, html_text, neighbours, quality, sharding, simhash, suffixes
+from citeframe.llm import chat, decontamination, html_text, neighbours, quality, sharding, simhash, suffixes, tokens
 from citeframe.plans.views import table
 from citeframe.sources import scratch
 
@@ -31,6 +31,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = tokens.encode(spark, docs)
+    return found.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", (tokens.decode(F.col("ids")) == F.col("text")).alias("round_trip")
+    )
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     length = F.aggregate("removed", F.lit(0).cast("bigint"), lambda total, run: total + run["end"] - run["start"])
@@ -136,7 +144,7 @@ ORACLE_SQL = {
 }
 
 _ALL = (
-    op1_sharding, op3_suffix_array_dedup, op4_chat_formatting, op5_benchmark_decontamination,
+    op1_sharding, op2_sentencepiece, op3_suffix_array_dedup, op4_chat_formatting, op5_benchmark_decontamination,
     op7_quality_classifier, op8_nearest_neighbours, op9_html_extraction, op10_simhash_near_dedup,
 )
 QUERIES = {q.__name__: q for q in _ALL}
