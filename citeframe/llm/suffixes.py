@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeframe.llm.arrow_runs import runs
+from citeframe.llm.arrow_runs import runs, small
 from citeframe.sources import scratch
 
 WINDOW = 200
@@ -43,7 +43,7 @@ BUCKETS = 16
 CROWD = 20_000
 #: Windows that are anchored, or sorted, at a time.
 PIECE = 1 << 16
-SORTED = 1 << 21
+SORTED = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _POSITION = 17  # bits; positions in a piece and its tail are below 2^17
@@ -149,7 +149,7 @@ def _anchored(bounds: list[bytes]):
     limits = np.array(bounds, "S16")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, "text"):
             keys = batch.column("key").to_pylist()
             first: dict[bytes, int] = {}
             copies: dict[bytes, int] = {}
@@ -258,7 +258,7 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of open spans; for crowded anchors a digest of every window. A text is read once in a task."""
     seen: set[bytes] = set()
     digest = xxhash.xxh3_128_digest
-    for batch in batches:
+    for batch in small(batches, "text", 2_000_000):
         out: list[tuple] = []
         for key, text, wanted in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("open").to_pylist(), strict=True):
             if key in seen:
@@ -274,7 +274,7 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for x in range(a, a + n):
                     pair = np.frombuffer(digest(raw[x : x + WINDOW]), np.int64)
                     out.append((*row, x, w["off"] - (x - a), 1, None, int(pair[0]), int(pair[1])))
-            if len(out) > 50_000:
+            if len(out) > 20_000:
                 yield _rows(out)
                 out = []
         if out:
@@ -370,7 +370,7 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, text_col: str = "text
     fetched = spark.read.schema(_OPEN).parquet(second)
 
     spans_ = fetched.filter(~F.col("crowded")).select("bucket", "gram", "single", "key", "a", "off", "n", "span")
-    sorted_ = spans_.repartition("bucket").sortWithinPartitions("gram").mapInArrow(_sort_open, "key binary, a bigint, n int")
+    sorted_ = spans_.repartition("bucket", "gram").sortWithinPartitions("gram").mapInArrow(_sort_open, "key binary, a bigint, n int")
     loose = fetched.filter("crowded").dropDuplicates(["key", "a", "gram"])
     often = loose.groupBy("w1", "w2").count().filter("count > 1")
     crowded = loose.filter("single").join(often, ["w1", "w2"], "left_semi").select("key", "a", "n")
@@ -393,10 +393,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, text_col: str = "text")
     """The documents with ``removed`` (maximal runs of bytes, as start and end) and ``kept`` (all other bytes)."""
     covered = repeated_windows(spark, docs, text_col).groupBy("key").agg(
         F.collect_list("a").alias("r_a"), F.collect_list("n").alias("r_n")
-    )
+    ).withColumnRenamed("key", "r_key_")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, "r_text"):
             removed, kept = [], []
             texts, starts, windows = (batch.column(c) for c in ("r_text", "r_a", "r_n"))
             for i in range(batch.num_rows):
@@ -416,8 +416,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, text_col: str = "text")
 
     carried = [c for c in docs.columns if c not in (text_col, "removed", "kept")]
     rows = docs.select(
-        *carried, F.coalesce(F.col(text_col), F.lit("")).alias("r_text"), text_key(F.col(text_col)).alias("key_")
-    ).join(covered, F.col("key_") == F.col("key"), "left")
+        *carried, F.coalesce(F.col(text_col), F.lit("")).alias("r_text"), text_key(F.col(text_col)).alias("r_digest_")
+    ).join(covered, F.col("r_digest_") == F.col("r_key_"), "left")
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in carried)
     schema = ", ".join(x for x in (fields, "removed array<struct<start: bigint, end: bigint>>, kept binary") if x)
     return rows.select(*carried, "r_text", "r_a", "r_n").mapInArrow(cut, schema)

@@ -2,13 +2,53 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from citeframe.llm import decontamination, quality, simhash, suffixes, tokens
 from citeframe.sources import scratch
 
-STAGES = []
 
-#: Iterative and hashed stages have no SQL form; the tests hold the result against a plain rebuild.
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that score below the threshold."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.filter(quality.score(F.col("text"), model) >= quality.THRESHOLD)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each SimHash group."""
+    return simhash.keep_one(spark, docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated byte strings out of texts; a character that is cut in two goes with them."""
+
+    @F.pandas_udf("string")
+    def text(kept: pd.Series) -> pd.Series:
+        return pd.Series([b.decode("utf-8", "ignore") for b in kept], dtype=object)
+
+    rest = suffixes.remove_repeats(spark, docs).withColumn("text", text(F.col("kept")))
+    return rest.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+
+
+def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark passage."""
+    found = decontamination.contamination(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = found.filter(F.size("hits") > 0).select("doc_id")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+
+
+def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return tokens.encode(spark, docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_filter), ("simhash_near_dedup", near_copies), ("suffix_array_dedup", repeated_strings),
+    ("benchmark_decontamination", benchmark_filter), ("sentencepiece", tokenised),
+]
+
+#: A fitted classifier and hashed stages have no SQL form.
 ORACLE_SQL = None
 
 

@@ -60,7 +60,7 @@ def test_same_as_counting_every_window(spark, monkeypatch, crowd):
     monkeypatch.setattr(suffixes, "CROWD", crowd)
     texts = corpus()
     docs = spark.createDataFrame([(i if i % 7 else None, t, 5) for i, t in enumerate(texts)], "doc_id bigint, text string, kept int")
-    docs = docs.withColumn("removed", F.lit("clash")).repartition(5)
+    docs = docs.withColumn("removed", F.lit("clash")).withColumn("key", F.lit(2)).repartition(5)
     want = sorted(((i if i % 7 else None, *x) for i, x in enumerate(plain(texts))), key=str)
     assert outcome(suffixes.remove_repeats(spark, docs.drop("kept", "removed"))) == want
     assert outcome(suffixes.remove_repeats(spark, docs)) == want
