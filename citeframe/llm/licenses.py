@@ -25,7 +25,11 @@ from citeframe.llm.license_texts import TEMPLATES
 
 GRAM = 3
 WINNOW = 3
+#: Words that a match may be shifted against its template: a share of the template's words, up to a limit.
 BAND = 12
+BAND_SHARE = 4
+#: Most diagonals that are aligned together.
+WIDEST = 256
 COVERAGE = 0.8
 #: Most template words of one pass.
 BLOCK = 1_000_000
@@ -139,6 +143,22 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, spread: int = B
     return found[::-1]
 
 
+def band_of(n_words: int) -> int:
+    """A short statement's words must stand close together, or a longer notice of the same licence would hold them too."""
+    return min(BAND, n_words // BAND_SHARE + 1)
+
+
+def _stretches(diagonals: np.ndarray, band: int) -> Iterator[tuple[int, int]]:
+    """First and last of the neighbouring diagonals that are aligned together. Long stretches are cut into overlapping
+    ones, so that memory does not grow with the text."""
+    for group in np.split(diagonals, np.flatnonzero(np.diff(diagonals) > band) + 1):
+        low, last = int(group[0]), int(group[-1])
+        while last - low > WIDEST:
+            yield low, low + WIDEST
+            low += WIDEST // 2
+        yield low, last
+
+
 def _runs(places: list[int]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for p in places:
@@ -153,10 +173,10 @@ def matches(text: np.ndarray, hits: dict[int, list[int]], index: Index, coverage
     """(template, matched words of the text). hits: diagonals by template."""
     for template, diagonals in hits.items():
         words_ = index.sequences[template]
-        diagonals = np.sort(np.array(diagonals))
+        band = band_of(len(words_))
         found = []
-        for group in np.split(diagonals, np.flatnonzero(np.diff(diagonals) > BAND) + 1):
-            got = align(words_, text, int(group[len(group) // 2]), BAND + int(group[-1] - group[0]) // 2)
+        for low, high in _stretches(np.unique(diagonals), band):
+            got = align(words_, text, (low + high) // 2, band + (high - low + 1) // 2)
             if len(got) >= coverage * len(words_):
                 found.append(got)
         taken: list[tuple[int, int]] = []
@@ -178,12 +198,11 @@ def _scan_text(raw: bytes, index: Index, coverage: float) -> list[tuple]:
     for t, d in zip(index.template[posting].tolist(), (place[hit] - index.place[posting]).tolist(), strict=True):
         by[t].append(d)
     out = []
+    places = None
     for template, got in matches(hashes, by, index, coverage):
-        spans = []
-        for a, b in _runs(got):
-            x, y = int(start[a]), int(end[b - 1])
-            first = len(raw[:x].decode("utf-8", "replace"))
-            spans.append({"start": first, "end": first + len(raw[x:y].decode("utf-8", "replace"))})
+        if places is None:  # characters that begin before each byte
+            places = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+        spans = [{"start": int(places[start[a]]), "end": int(places[end[b - 1]])} for a, b in _runs(got)]
         n = len(index.sequences[template])
         out.append((index.names[template], len(got), len(got) / n, spans))
     return out
@@ -200,7 +219,7 @@ def _touched(texts: list[bytes], index: Index) -> list[int]:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
-    """(doc_id, license, matched_words, template_words, coverage, spans) of every match; spans count characters from 0, ends
+    """(doc_id, license, matched_words, coverage, spans) of every match; spans count characters from 0, ends
     not included."""
     templates = TEMPLATES if templates is None else templates
     passes: list[dict[str, str]] = [{}]
