@@ -33,10 +33,8 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = tokens.encode(spark, docs)
-    return found.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", (tokens.decode(F.col("ids")) == F.col("text")).alias("round_trip")
-    )
+    found = tokens.encode(spark, docs, verify=True)
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "round_trip")
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

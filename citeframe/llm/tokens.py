@@ -32,6 +32,8 @@ from citeframe.sources import scratch
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768
+#: Bytes of text that a task encodes at a time.
+PIECE = 2_000_000
 
 # Max-plus
 
@@ -192,7 +194,7 @@ def _encode_giants(spark: SparkSession, giants: DataFrame, model_file: str, size
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longest = load(model_file).longest
-        for batch in small(batches, "text", 1_000_000):
+        for batch in small(batches, "text", PIECE):
             for key, text in zip(batch.column("key"), batch.column("text"), strict=True):
                 for n, (body, low, high) in enumerate(cut(Pieces.marked(text.as_py()), longest, size)):
                     row = (key.as_py(),), (n,), (body.encode("utf-8", "surrogatepass"),), (low,), (high,)
@@ -201,15 +203,20 @@ def _encode_giants(spark: SparkSession, giants: DataFrame, model_file: str, size
                         [pa.array(c, t) for c, t in zip(row, kinds, strict=True)], ["key", "chunk", "body", "low", "high"]
                     )
 
-    def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chunks_of(batch: pa.RecordBatch, pieces: Pieces) -> Iterator[Chunk]:
+        for body, low, high in zip(*(batch.column(c) for c in ("body", "low", "high")), strict=True):
+            yield Chunk(pieces, _text(body.as_py()), low.as_py(), high.as_py())
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_file)
-        for batch in batches:
-            found = [Chunk(pieces, _text(r.body), r.low, r.high).matrix() for r in batch.itertuples()]
-            yield pd.DataFrame(
-                {
-                    "key": batch["key"], "chunk": batch["chunk"], "wide": [m.shape[1] for m in found],
-                    "open": [(m == 0).astype(np.uint8).tobytes() for m in found],
-                }
+        for batch in small(batches, "body", PIECE):
+            found = [c.matrix() for c in chunks_of(batch, pieces)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("key"), batch.column("chunk"), pa.array([m.shape[1] for m in found], pa.int32()),
+                    pa.array([(m == 0).astype(np.uint8).tobytes() for m in found], pa.binary()),
+                ],
+                ["key", "chunk", "wide", "open"],
             )
 
     def combine(rows: pd.DataFrame) -> pd.DataFrame:
@@ -220,17 +227,18 @@ def _encode_giants(spark: SparkSession, giants: DataFrame, model_file: str, size
         right = edge_states(found)
         return pd.DataFrame({"key": rows["key"], "chunk": rows["chunk"], "i": [0, *right[:-1]], "j": right})
 
-    def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_file)
-        for batch in batches:
-            found = [Chunk(pieces, _text(bytes(b)), lo, hi).ids(i, j) for b, lo, hi, i, j in zip(*(batch.column(c).to_pylist() for c in ("body", "low", "high", "i", "j")), strict=True)]
+        for batch in small(batches, "body", PIECE):
+            states = zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True)
+            found = [c.ids(i, j) for c, (i, j) in zip(chunks_of(batch, pieces), states, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chunk"), _lists(found)], ["key", "chunk", "ids"])
 
     distinct = giants.dropDuplicates(["key"]).mapInArrow(split, _CHUNKS)
     path = scratch.new_path(spark, "chunks")
     distinct.repartition("key", "chunk").write.parquet(path)
     chunks = spark.read.schema(_CHUNKS).parquet(path)
-    edges = chunks.mapInPandas(matrices, "key binary, chunk int, wide int, open binary")
+    edges = chunks.mapInArrow(matrices, "key binary, chunk int, wide int, open binary")
     states = edges.groupBy("key").applyInPandas(combine, "key binary, chunk int, i int, j int")
     parts = chunks.join(states, ["key", "chunk"]).mapInArrow(trace, "key binary, chunk int, ids array<int>")
     ordered = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("p"))
@@ -238,24 +246,35 @@ def _encode_giants(spark: SparkSession, giants: DataFrame, model_file: str, size
 
 
 def encode(
-    spark: SparkSession, docs: DataFrame, text_col: str = "text", model_file: str = MODEL_FILE, size: int = CHUNK
+    spark: SparkSession, docs: DataFrame, text_col: str = "text", model_file: str = MODEL_FILE, size: int = CHUNK,
+    verify: bool = False,
 ) -> DataFrame:
-    """The documents with ``ids``, the token ids of the whole text."""
-    kept = [c for c in docs.columns if c != "ids"]
+    """The documents with ``ids``, the token ids of the whole text, and with ``verify`` also ``round_trip``: whether they
+    decode to that text. Short texts are decoded where they are encoded."""
+    added = ["ids", "round_trip"] if verify else ["ids"]
+    kept = [c for c in docs.columns if c not in added]
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(*kept).dtypes)
     length = F.coalesce(F.char_length(text_col), F.lit(0))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_file)
-        for batch in small(batches, text_col):
-            found = [pieces.encode(t or "") for t in batch.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(found)], [*batch.schema.names, "ids"])
-
-    whole = docs.select(*kept).filter(length <= size).mapInArrow(short, f"{fields}, ids array<int>")
+        for batch in small(batches, text_col, PIECE):
+            texts = [t or "" for t in batch.column(text_col).to_pylist()]
+            found = [pieces.encode(t) for t in texts]
+            columns = [*batch.columns, _lists(found)]
+            if verify:
+                columns.append(pa.array([pieces.decode(f.tolist()) == t for f, t in zip(found, texts, strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, [*kept, *added])
+
+    types = f"{fields}, ids array<int>" + (", round_trip boolean" if verify else "")
+    whole = docs.select(*kept).filter(length <= size).mapInArrow(short, types)
     long_ = docs.select(*kept, text_key(F.col(text_col)).alias("t_digest_")).filter(length > size)
     giants = long_.select(F.col("t_digest_").alias("key"), F.col(text_col).alias("text"))
     found = _encode_giants(spark, giants, model_file, size).withColumnRenamed("key", "t_key_")
-    return whole.unionByName(long_.join(found, F.col("t_digest_") == F.col("t_key_")).select(*kept, "ids"))
+    joined = long_.join(found, F.col("t_digest_") == F.col("t_key_")).select(*kept, "ids")
+    if verify:
+        joined = joined.withColumn("round_trip", decode(F.col("ids"), model_file) == F.col(text_col))
+    return whole.unionByName(joined)
 
 
 def decode(ids: Column, model_file: str = MODEL_FILE) -> Column:
