@@ -20,8 +20,8 @@ import numpy as np
 MARK = "▁"
 #: Units up to this length are merged directly; longer ones are searched.
 SHORT = 64
-#: Units and pairs of pieces remembered at most, some 20 MB each; a memory starts anew when it is full.
-REMEMBERED = 60_000
+#: Units and pairs of pieces remembered at most, some 50 to 80 MB each; a memory starts anew when it is full.
+REMEMBERED = 250_000
 NONE = float("-inf")
 
 
