@@ -268,13 +268,17 @@ def leakage_audit_overlap(spark, sf_dir):
 
 
 def batch_ids(spark, sf_dir):
-    return batches.batch_ids(views.papers(spark, sf_dir).select("id"), BATCH_SIZE)
+    return batches.batch_ids(views.papers(spark, sf_dir).select("id"), BATCH_SIZE, drop_remainder=True)
 
 
-def shuffled_batches(spark, sf_dir):
+def whole_batches(spark, sf_dir):
     return batches.batch_ids(views.papers(spark, sf_dir).select("id"), BATCH_SIZE, seed=batches.SEED)
 
 
+def shuffled_batches(spark, sf_dir):
+    return batches.batch_ids(views.papers(spark, sf_dir).select("id"), BATCH_SIZE, seed=batches.SEED, drop_remainder=True)
+
+
 def role_batches(spark, sf_dir):
     rows = fold_roles(spark, sf_dir)
     return batches.batch_ids(rows, BATCH_SIZE, seed=batches.SEED, drop_remainder=True, keys=["fold", "role"])
@@ -397,7 +401,7 @@ _QUERIES = (
     time_slices, wide_time_slices, shard_plan, shard_manifest, shard_names, select_shards_overlap, train_example_count,
     export_roundtrip, exported_manifest, exported_range, manifest_upsert,
     fold_table, fold_roles, fold_roles_overlap, leakage_audit, leakage_audit_overlap,
-    batch_ids, shuffled_batches, role_batches,
+    batch_ids, whole_batches, shuffled_batches, role_batches,
     binary_metrics, metrics_by_language, balanced_accuracy, log_loss, confusion, pr_curve,
     fold_metrics, fold_pr_curves,
     rolling_gap, trial_log, unpromising_trials, unpromising_trials_min, early_stop_epoch, early_stop_epoch_min,

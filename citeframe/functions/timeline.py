@@ -30,8 +30,12 @@ def year_start_ns(year: int) -> int:
 
 
 def to_epoch_us(ts: Column) -> Column:
-    """``timestamp_ntz`` to epoch microseconds."""
-    return F.timestamp_diff("MICROSECOND", _epoch(), ts)
+    """``timestamp_ntz`` to epoch microseconds. Built from its parts, because a difference of timestamps goes through the
+    session zone and moves values inside a daylight-saving gap."""
+    local = ts.cast("timestamp_ntz")
+    days = F.unix_date(local.cast("date")).cast("bigint")
+    minutes = (days * F.lit(24) + F.hour(local)) * F.lit(60) + F.minute(local)
+    return minutes * F.lit(60_000_000) + (F.date_part(F.lit("SECOND"), local) * F.lit(1_000_000)).cast("bigint")
 
 
 def to_epoch_ns(ts: Column) -> Column:

@@ -81,5 +81,5 @@ def target_vector(y_cols: Sequence[str], fill: float | None = None) -> Column:
 
 
 def predicted_class(probability: Column, threshold: float = 0.5) -> Column:
-    """Class 1 strictly above the threshold."""
-    return (probability > F.lit(threshold)).cast("int")
+    """Class 1 strictly above the threshold; null for a probability that is NaN."""
+    return F.when(~F.isnan(probability), (probability > F.lit(threshold)).cast("int"))

@@ -22,7 +22,7 @@ def batch_ids(
     examples: DataFrame,
     batch_size: int,
     seed: int | None = None,
-    drop_remainder: bool = True,
+    drop_remainder: bool = False,
     keys: Sequence[str] = (),
     id_col: str = "id",
     max_rows: int = MAX_ROWS_PER_TASK,

@@ -1,29 +1,34 @@
 """Running aggregates, row numbers and short look-back windows that survive hot groups.
 
 A window sends each group to one task. Where the largest group is above ``max_rows`` the operators
-here cut every group into consecutive chunks of a numeric order position, work chunk by chunk, and
-carry the totals of the earlier chunks over, so no task sees more than a chunk. The results are the
-same either way.
-
-``position`` must be a numeric column that grows with the sort order, such as an id, a microsecond time
-or a hash key. Where many rows of a group may share one position, ``tie`` is the numeric column that
+here cut the hot groups into consecutive chunks of an order position, work chunk by chunk, and
+carry the totals of the earlier chunks over, so no task sees more than a chunk. The other groups stay
+in a plain window. The results are the same either way. Finding the hot groups is a job that runs when
+the plan is built; with ``n_chunks`` given none runs, and every group is cut.
+
+``position`` must be a column that grows with the sort order: a number, such as an id, a microsecond time
+or a hash key, or a string. Null positions come first and NaN last, as in an ascending sort; a descending
+order must have neither. Where many rows of a group may share one position, ``tie`` is the column that
 orders them; positions must then be exact as doubles (below 2**53).
 """
 
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
 MAX_ROWS_PER_TASK = 2_000_000
 
 _CHUNK = "_chunk"
 _REAL = "_real"
 _FUNCS = {"sum": F.sum, "max": F.max}
+_TEXT_BYTES = 6  # what a double holds exactly
 
 
 def chunks_needed(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_ROWS_PER_TASK) -> int:
@@ -44,26 +49,51 @@ def _bucket(df: DataFrame, column: str, cuts: Sequence[float], name: str) -> Dat
     if not cuts:
         return df.withColumn(name, F.lit(0.0))
     splits = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep").transform(df)
+    placed = Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep").transform(df)
+    return placed.withColumn(name, F.when(F.col(column).isNull(), F.lit(-1.0)).otherwise(F.col(name)))
+
+
+def _as_double(df: DataFrame, position: Column) -> Column:
+    """A double that never falls while the position grows. Strings give the bytes behind the prefix that all of them share."""
+    kind = df.select(position.alias("p")).schema["p"].dataType
+    if isinstance(kind, NumericType):
+        return position.cast("double")
+    if not isinstance(kind, StringType):
+        raise TypeError(f"a position must be a number or a string, not {kind.simpleString()}")
+    ends = [e.encode() for e in df.agg(F.min(position), F.max(position)).first() if e is not None]
+    shared = len(os.path.commonprefix(ends)) if ends else 0
+    next_bytes = F.hex(F.substring(position.cast("binary"), shared + 1, _TEXT_BYTES))
+    return F.conv(F.rpad(next_bytes, 2 * _TEXT_BYTES, "0"), 16, 10).cast("double")
 
 
 def _quantiles(df: DataFrame, column: str, n_chunks: int) -> list[float]:
     return df.approxQuantile(column, [i / n_chunks for i in range(1, n_chunks)], 1 / (4 * n_chunks))
 
 
+def _split_hot(df: DataFrame, keys: Sequence[str], max_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups that fit one task, and those of the larger ones, of which there are few."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_rows)
+    hot = counts.select(*[F.col(k).alias(f"_hot_{i}") for i, k in enumerate(keys)])
+    same = None
+    for i, k in enumerate(keys):
+        equal = F.col(k).eqNullSafe(F.col(f"_hot_{i}"))
+        same = equal if same is None else same & equal
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
+
+
 def cut_into_chunks(df: DataFrame, position: Column, n_chunks: int, tie: Column | None = None) -> DataFrame:
     """Adds ``_chunk``, which grows with the sort order and holds about ``rows / n_chunks`` rows each.
 
     A position that fills a chunk or more gets chunks of its own, cut by ``tie``.
     """
-    placed = df.withColumn("_position", position.cast("double"))
+    placed = df.withColumn("_position", _as_double(df, position))
     cuts = _quantiles(placed, "_position", n_chunks)
     crowded = sorted({a for a, b in zip(cuts, cuts[1:], strict=False) if a == b}) if tie is not None else []
     cuts += [math.nextafter(v, math.inf) for v in crowded]
     out = _bucket(placed, "_position", cuts, _CHUNK)
     if crowded:
-        is_crowded = F.col("_position").isin(crowded)
-        tied = out.withColumn("_tie", F.when(is_crowded, tie.cast("double")).otherwise(F.lit(float("-inf"))))
+        is_crowded = F.coalesce(F.col("_position").isin(crowded), F.lit(False))
+        tied = out.withColumn("_tie", F.when(is_crowded, _as_double(df, tie)).otherwise(F.lit(float("-inf"))))
         tie_cuts = _quantiles(tied.where(is_crowded), "_tie", n_chunks)
         part = _bucket(tied, "_tie", tie_cuts, "_part")
         out = part.withColumn(_CHUNK, F.col(_CHUNK) * F.lit(n_chunks + 1) + F.col("_part")).drop("_tie", "_part")
@@ -91,6 +121,11 @@ def running(
     keys = list(keys)
     if n_chunks is None:
         n_chunks = chunks_needed(df, keys, max_rows)
+        if n_chunks > 1 and keys:
+            rest, hot = _split_hot(df, keys, max_rows)
+            how = keys, order, position, measures, before
+            n_hot = chunks_needed(hot, keys, max_rows)
+            return running(rest, *how, 1, max_rows, totals).unionByName(running(hot, *how, n_hot, max_rows, totals, tie))
     last = -1 if before else Window.currentRow
     if n_chunks == 1:
         group = Window.partitionBy(*keys)
@@ -161,6 +196,11 @@ def look_back(
     keys = list(keys)
     if n_chunks is None:
         n_chunks = chunks_needed(df, keys, max_rows)
+        if n_chunks > 1 and keys:
+            rest, hot = _split_hot(df, keys, max_rows)
+            n_hot = chunks_needed(hot, keys, max_rows)
+            cut = look_back(hot, keys, order, position, reach, add, n_hot, max_rows, tie)
+            return look_back(rest, keys, order, position, reach, add, 1, max_rows, tie).unionByName(cut)
     if n_chunks == 1:
         return add(df, Window.partitionBy(*keys).orderBy(*order))
 

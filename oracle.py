@@ -312,6 +312,10 @@ ORACLE_SQL = {
     "batch_ids": f"""SELECT id, batch_id FROM (
             SELECT o_orderkey AS id, (row_number() OVER (ORDER BY o_orderkey) - 1) // {BATCH} AS batch_id FROM orders
         ) WHERE batch_id < (SELECT count(*) // {BATCH} FROM orders)""",
+    "whole_batches": _with(
+        f"""SELECT id, (row_number() OVER (ORDER BY key, id) - 1) // {BATCH} AS batch_id FROM shuffled""",
+        "shuffled",
+    ),
     "shuffled_batches": _with(
         f"""SELECT id, batch_id FROM (
             SELECT id, (row_number() OVER (ORDER BY key, id) - 1) // {BATCH} AS batch_id FROM shuffled

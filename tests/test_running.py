@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citeframe.operators import batches, history, metrics, slicing
-from citeframe.operators.running import chunks_needed, cut_into_chunks, look_back, numbered, running
+from citeframe.operators.running import _split_hot, chunks_needed, cut_into_chunks, look_back, numbered, running
 
 
 @pytest.fixture(scope="module")
@@ -124,3 +124,39 @@ def test_history_does_not_depend_on_chunks(skewed, spark):
     assert rows_of(history.rolling_gap(events, "user", "ts", "id", 5, n_chunks=1)) == rows_of(
         history.rolling_gap(events, "user", "ts", "id", 5, max_rows=60)
     )
+
+
+def test_only_hot_groups_are_cut(spark):
+    rows = [(f"user-{i % 400 if i % 2 else 7}", f"id-{i:06d}", float(i % 13)) for i in range(4000)] + [("user-7", None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, id string, x double").repartition(4)
+    args = (["g"], [F.col("id")], F.col("id"), {"s": ("sum", F.col("x"))})
+    whole = running(df, *args, n_chunks=1, totals=True)
+    cut = running(df, *args, max_rows=100, totals=True)
+    assert rows_of(whole) == rows_of(cut)
+    _, hot = _split_hot(df, ["g"], 100)
+    openers = cut_into_chunks(hot, F.col("id"), chunks_needed(hot, ["g"], 100)).select("g", "_chunk").distinct().count()
+    assert openers <= df.count() / 100
+
+
+def test_string_ids_and_missing_positions(spark):
+    ids = spark.createDataFrame([(f"p{i:04d}é",) for i in range(500)] + [(None,), ("",)], "id string")
+    assert rows_of(batches.batch_ids(ids, 32)) == rows_of(batches.batch_ids(ids, 32, max_rows=40))
+    assert batches.batch_ids(ids, 32).count() == 502
+    odd = spark.createDataFrame([(float(i),) for i in range(90)] + [(None,), (float("nan"),)], "id double")
+    assert str(rows_of(batches.batch_ids(odd, 8))) == str(rows_of(batches.batch_ids(odd, 8, max_rows=10)))
+
+
+@pytest.mark.parametrize("direction", ["max", "min"])
+def test_string_trials_and_nan_scores(spark, direction):
+    rows = [(f"t{t:02d}", e, float("nan") if (t + e) % 7 == 0 else (t * 37 + e * 11) % 19 / 19) for t in range(30) for e in range(12)]
+    df = spark.createDataFrame(rows, "trial string, epoch bigint, score double")
+    for f in (history.flag_unpromising, history.early_stop_epoch):
+        assert rows_of(f(df, direction=direction)) == rows_of(f(df, direction=direction, max_rows=10))
+    known = df.where("not isnan(score)")
+    assert rows_of(history.early_stop_epoch(df, direction=direction)) == rows_of(history.early_stop_epoch(known, direction=direction))
+
+
+def test_curve_without_nan(spark):
+    rows = [(i % 2, [0.1, 0.3, 0.5, 0.7, float("nan")][i % 5]) for i in range(40)]
+    df = spark.createDataFrame(rows, "y int, p double")
+    assert rows_of(metrics.pr_curve(df)) == rows_of(metrics.pr_curve(df, max_rows=2)) == rows_of(metrics.pr_curve(df.where("not isnan(p)")))

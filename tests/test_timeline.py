@@ -45,3 +45,18 @@ def test_interval_of_foreign_names(spark):
 def test_ceil_div_column(spark):
     df = spark.createDataFrame([(0,), (1,), (512,), (513,)], "n bigint")
     assert [r[0] for r in df.select(tl.ceil_div_col(F.col("n"), 512)).collect()] == [0, 1, 1, 2]
+
+
+@pytest.mark.parametrize("zone", ["America/Sao_Paulo", "Asia/Beirut", "America/New_York", "UTC"])
+def test_values_in_a_daylight_saving_gap(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        gaps = [dt.datetime(2018, 11, 4, 0, 30), dt.datetime(2020, 3, 29, 0, 15, 0, 7), dt.datetime(2020, 3, 8, 2, 30), dt.datetime(1950, 1, 1, 1, 2, 3, 4)]
+        df = spark.createDataFrame([(d,) for d in gaps], "d timestamp_ntz").select("d", tl.to_epoch_us(F.col("d")).alias("us"))
+        assert [r["us"] for r in df.collect()] == [(d - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1) for d in gaps]
+        back = df.select(tl.from_epoch_ns(F.col("us") * 1000).alias("back"))
+        assert [r["back"] for r in back.collect()] == gaps
+        assert "as timestamp)" not in df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
