@@ -28,8 +28,9 @@ except ModuleNotFoundError as missing:  # these parts can be taken out; what els
 
 FOLDS = folds.make_folds(**views.FOLD_SETTINGS)
 FIRST = FOLDS[0]
-N_TRIALS = 4
-MAX_ITER = 25
+# Time points and features of the examples that the model queries fit, and where the fits stop.
+PRICE_SHAPE = (0, 1)
+FIT_TOLERANCE = 1e-10
 
 
 def _examples(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -55,7 +56,7 @@ def _export(
         TIMEPOINTS, N_FEATURES, Y_COLS,
     )
     out = paths or (scratch.new_path(spark, "examples"), scratch.new_path(spark, "manifest"))
-    export(examples, *out, ROWS_PER_SHARD, overwrite=paths is None)
+    export(examples, *out, ROWS_PER_SHARD, overwrite=paths is None, years=(start, end))
     return out
 
 
@@ -329,8 +330,8 @@ def _through_metric_files(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return spark.read.option("header", True).schema(f"{shards.METRIC_SCHEMA}, span string").csv(out)
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 # Run history
@@ -368,30 +369,40 @@ def best_trial(spark, sf_dir):
 # Models
 
 
+def _price_export(spark: SparkSession, sf_dir: str) -> str:
+    """Writes examples of one price feature per paper, on which a fit can be solved to tolerance."""
+    examples = sharded_examples(
+        views.labelled_papers(spark, sf_dir), views.price_vectors(spark, sf_dir), START_YEAR, END_YEAR, 1,
+        ROWS_PER_SHARD, *PRICE_SHAPE, Y_COLS,
+    )
+    out = scratch.new_path(spark, "examples")
+    shards.write_shards(examples, out, ROWS_PER_SHARD, overwrite=True)
+    return out
+
+
+def lr_trials(spark, sf_dir):
+    path = _price_export(spark, sf_dir)
+    trials = crossval.search_first_fold(spark, path, FOLDS, *PRICE_SHAPE, training.MAX_TRIALS, tol=FIT_TOLERANCE)
+    return trials.select("trial", F.round("l2", 9).alias("l2"), F.round("score", 6).alias("score"))
+
+
 def lr_search_best(spark, sf_dir):
-    examples_path, _ = _export(spark, sf_dir)
-    trials = crossval.search_first_fold(spark, examples_path, FOLDS, TIMEPOINTS, N_FEATURES, N_TRIALS, MAX_ITER)
-    return history.best_trial(trials)
+    return _rounded(history.best_trial(lr_trials(spark, sf_dir)))
 
 
 def lr_fold_metrics(spark, sf_dir):
-    examples_path, _ = _export(spark, sf_dir)
+    path, models = _price_export(spark, sf_dir), scratch.new_path(spark, "models")
     rows, _ = crossval.cross_validate(
-        spark, examples_path, FOLDS, TIMEPOINTS, N_FEATURES, N_TRIALS, MAX_ITER,
-        model_path=scratch.new_path(spark, "models"),
+        spark, path, FOLDS, *PRICE_SHAPE, training.MAX_TRIALS, model_path=models, tol=FIT_TOLERANCE
     )
-    return _through_metric_files(spark, rows)
+    return _rounded(_through_metric_files(spark, rows), 4)
 
 
 def lr_test_scores(spark, sf_dir):
-    examples_path, _ = _export(spark, sf_dir)
-    models, l2 = scratch.new_path(spark, "models"), training.l2_candidates(1)[0]
-    crossval.score_folds(spark, examples_path, FOLDS, l2, TIMEPOINTS, N_FEATURES, MAX_ITER, model_path=models)
-    scores = crossval.score_saved(spark, examples_path, FOLDS, models, TIMEPOINTS, N_FEATURES)
-    in_range = F.count_if((F.col("p") >= 0) & (F.col("p") <= 1)).alias("n_probabilities")
-    return scores.groupBy("fold").agg(
-        F.count("*").alias("n_test"), F.sum("y").cast("bigint").alias("n_positive"), in_range
-    )
+    path, models = _price_export(spark, sf_dir), scratch.new_path(spark, "models")
+    l2 = training.l2_candidates(1)[0]
+    crossval.score_folds(spark, path, FOLDS, l2, *PRICE_SHAPE, model_path=models, tol=FIT_TOLERANCE)
+    return _rounded(crossval.score_saved(spark, path, FOLDS, models, *PRICE_SHAPE), 4)
 
 
 _QUERIES = (
@@ -405,7 +416,7 @@ _QUERIES = (
     binary_metrics, metrics_by_language, balanced_accuracy, log_loss, confusion, pr_curve,
     fold_metrics, fold_pr_curves,
     rolling_gap, trial_log, unpromising_trials, unpromising_trials_min, early_stop_epoch, early_stop_epoch_min,
-    best_trial, lr_search_best, lr_fold_metrics, lr_test_scores,
+    best_trial, lr_trials, lr_search_best, lr_fold_metrics, lr_test_scores,
 )
 
 

@@ -97,7 +97,7 @@ def run(argv: Sequence[str], spark: SparkSession) -> None:
         examples = sharded_examples(
             papers, vectors, *args.years, rows, args.timepoints, args.n_features, args.labels, args.pad
         )
-        export(examples, args.examples, args.manifest, rows, args.overwrite)
+        export(examples, args.examples, args.manifest, rows, args.overwrite, tuple(args.years[:2]))
     else:
         folds = make_folds(**{name: getattr(args, name) for name in FOLDS})
         metrics, curves = cross_validate(

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from citeframe.functions.timeline import year_start_ns
 from citeframe.operators.running import MAX_ROWS_PER_TASK
 from citeframe.operators.sequences import build_examples
 from citeframe.operators.slicing import assign_shards, time_slices
@@ -37,7 +38,12 @@ def sharded_examples(
     )
 
 
-def export(examples: DataFrame, examples_path: str, manifest_path: str, rows_per_shard: int, overwrite: bool = False) -> None:
-    """Writes the examples of :func:`sharded_examples` and the manifest of what was written."""
+def export(
+    examples: DataFrame, examples_path: str, manifest_path: str, rows_per_shard: int, overwrite: bool = False,
+    years: tuple[int, int] | None = None,
+) -> None:
+    """Writes the examples of :func:`sharded_examples` and the manifest of what was written. ``years``, their first year and
+    the one behind their last, spares an incremental export the count of all other slices."""
     write_shards(examples, examples_path, rows_per_shard, overwrite)
-    write_manifest(examples.sparkSession, examples_path, manifest_path, overwrite)
+    low, high = (year_start_ns(y) for y in years) if years else (None, None)
+    write_manifest(examples.sparkSession, examples_path, manifest_path, overwrite, low, high)

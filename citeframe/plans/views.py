@@ -88,6 +88,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.withColumn("vec_id", F.col("id") % n).join(embeddings, "vec_id", "left").select("id", "embedding")
 
 
+def price_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, embedding)`` with one feature, in eighths: a price step blurred by the customer."""
+    step = F.floor(F.col("o_totalprice") / 20000) + F.col("o_custkey") % 13
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.array((step / 8.0).cast("float")).alias("embedding")
+    )
+
+
 def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of the high-priority orders."""
     return table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "2-HIGH").select(F.col("o_orderkey").alias("id"))

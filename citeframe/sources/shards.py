@@ -39,12 +39,19 @@ def _slices_as_bigint(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("bigint") for c in SLICE_KEYS})
 
 
-def write_manifest(spark: SparkSession, examples_path: str, manifest_path: str, overwrite: bool = False) -> None:
+def write_manifest(
+    spark: SparkSession, examples_path: str, manifest_path: str, overwrite: bool = False,
+    low: int | None = None, high: int | None = None,
+) -> None:
     """Counts the written shards and puts them in place of the same slices of the manifest.
 
-    The count reads the ``shard`` column alone. It covers what is on storage, not what was planned.
+    The count reads the ``shard`` column alone. It covers what is on storage, not what was planned. With ``low`` and
+    ``high`` only slices that start in ``[low, high)`` are counted; files of the others are neither read nor rewritten.
     """
-    counts = shard_counts(_slices_as_bigint(spark.read.parquet(examples_path)).select(*SHARD_KEYS))
+    stored = spark.read.parquet(examples_path)
+    if not overwrite and low is not None and high is not None:
+        stored = stored.where((F.col("slice_start") >= F.lit(low)) & (F.col("slice_start") < F.lit(high)))
+    counts = shard_counts(_slices_as_bigint(stored.select(*SHARD_KEYS)))
     (
         counts.write.mode("overwrite")
         .option("partitionOverwriteMode", "static" if overwrite else "dynamic")

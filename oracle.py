@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from citeframe.operators.training import l2_candidates
+
 # Same settings as the registered queries.
 K = 4
 N = 64
 ROWS_PER_SHARD = 500
 BATCH = 512
 SEED = 2025
+L2 = l2_candidates()
+NEWTON_STEPS = 20
 YEAR_NS = "364 * 86400 * 1000000000::BIGINT"
 PREFIX = "https://openalex.org/W"
 
@@ -139,6 +143,42 @@ _CTE = {
         FROM events""",
         (),
     ),
+    "fit_rows": (
+        """SELECT r.fold, r.role, r.id, p.above_mean AS y, (floor(o.o_totalprice / 20000) + o.o_custkey % 13) / 8.0::DOUBLE AS x
+        FROM roles r JOIN papers p USING (id) JOIN orders o ON o.o_orderkey = r.id WHERE p.above_mean IS NOT NULL""",
+        ("roles",),
+    ),
+    "fit_cells": (
+        "SELECT fold, x, count(*) AS n, sum(y) AS pos FROM fit_rows WHERE role = 'train' GROUP BY fold, x",
+        ("fit_rows",),
+    ),
+    # Newton steps for an intercept a and a penalised slope b, for every fold and penalty.
+    "newton(fold, trial, l2, step, a, b)": (
+        f"""SELECT f.fold, t.trial, t.l2, 0, 0::DOUBLE, 0::DOUBLE
+        FROM folds f CROSS JOIN (SELECT unnest({L2}) AS l2, unnest(range({len(L2)}))::INTEGER AS trial) t
+        UNION ALL
+        SELECT fold, trial, l2, step + 1, a - (bb * ga - ab * gb) / (aa * bb - ab * ab), b - (aa * gb - ab * ga) / (aa * bb - ab * ab)
+        FROM (
+            SELECT fold, trial, l2, step, a, b, sum(n * p - pos) / sum(n) AS ga, sum(x * (n * p - pos)) / sum(n) + l2 * b AS gb,
+                   sum(n * p * (1 - p)) / sum(n) AS aa, sum(n * x * p * (1 - p)) / sum(n) AS ab,
+                   sum(n * x * x * p * (1 - p)) / sum(n) + l2 AS bb
+            FROM (
+                SELECT s.*, c.x, c.n, c.pos, 1 / (1 + exp(-(s.a + s.b * c.x))) AS p
+                FROM newton s JOIN fit_cells c ON c.fold = s.fold WHERE s.step < {NEWTON_STEPS}
+            ) GROUP BY fold, trial, l2, step, a, b
+        )""",
+        ("folds", "fit_cells"),
+    ),
+    "fit_scores": (
+        f"""SELECT r.fold, r.role, r.id, r.y, w.trial, w.l2, 1 / (1 + exp(-(w.a + w.b * r.x))) AS p
+        FROM fit_rows r JOIN newton w ON w.fold = r.fold AND w.step = {NEWTON_STEPS}""",
+        ("newton(fold, trial, l2, step, a, b)",),
+    ),
+    "fit_trials": (
+        """SELECT trial, l2, coalesce(count(*) FILTER (p > 0.5 AND y = 1)::DOUBLE / nullif(count(*) FILTER (p > 0.5), 0), 0) AS score
+        FROM fit_scores WHERE role = 'val' AND fold = (SELECT min(fold) FROM folds) GROUP BY trial, l2""",
+        ("fit_scores",),
+    ),
     "shuffled": (
         f"""SELECT o_orderkey AS id,
                ('0x' || substr(md5('{SEED}-' || o_orderkey::VARCHAR), 1, 13))::BIGINT AS key
@@ -164,6 +204,11 @@ def _with(query: str, *names: str) -> str:
     return f"WITH {ctes}\n{query}" if ctes else query
 
 
+def _recursive(query: str, *names: str) -> str:
+    return _with(query, *names).replace("WITH", "WITH RECURSIVE", 1)
+
+
+_BEST = "ORDER BY score DESC, trial LIMIT 1"
 _TARGETS = "p.above_mean::FLOAT::DOUBLE AS target_above_mean, p.fulfilled::FLOAT::DOUBLE AS target_fulfilled"
 _METRICS = """count(*) AS n, round(avg(loss), 6) AS loss, round(avg((y = y_pred)::INTEGER), 6) AS accuracy,
     round((coalesce(avg(CASE WHEN y = 1 THEN y_pred END), 0) + coalesce(avg(CASE WHEN y = 0 THEN 1 - y_pred END), 0))
@@ -371,9 +416,18 @@ ORACLE_SQL = {
     "best_trial": _with(
         "SELECT trial, max(score) AS score FROM trials GROUP BY trial ORDER BY score DESC, trial LIMIT 1", "trials"
     ),
-    "lr_test_scores": _with(
-        """SELECT r.fold, count(*) AS n_test, sum(p.above_mean)::BIGINT AS n_positive, count(*) AS n_probabilities
-        FROM roles r JOIN papers p USING (id) WHERE r.role = 'test' AND p.above_mean IS NOT NULL GROUP BY r.fold""",
-        "roles",
+    "lr_trials": _recursive("SELECT trial, round(l2, 9) AS l2, round(score, 6) AS score FROM fit_trials", "fit_trials"),
+    "lr_search_best": _recursive(f"SELECT trial, round(score, 6) AS score FROM fit_trials {_BEST}", "fit_trials"),
+    "lr_fold_metrics": _recursive(
+        f"""SELECT fold, (fold - 1)::VARCHAR || '-' || fold::VARCHAR AS span, {_METRICS.replace(", 6)", ", 4)")}
+        FROM (
+            SELECT fold, y, (p > 0.5)::INTEGER AS y_pred,
+                   -(y * ln(least(greatest(p, 1e-7), 1 - 1e-7)) + (1 - y) * ln(1.0::DOUBLE - least(greatest(p, 1e-7), 1 - 1e-7))) AS loss
+            FROM fit_scores WHERE role = 'test' AND trial = (SELECT trial FROM fit_trials {_BEST})
+        ) GROUP BY fold""",
+        "fit_trials",
+    ),
+    "lr_test_scores": _recursive(
+        "SELECT fold, id, y::DOUBLE AS y, round(p, 4) AS p FROM fit_scores WHERE role = 'test' AND trial = 0", "fit_scores"
     ),
 }

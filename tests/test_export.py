@@ -66,7 +66,11 @@ def test_writing_a_slice_again_replaces_it_alone(spark, sf):
     out = scratch.new_path(spark, "examples"), scratch.new_path(spark, "manifest")
     export(make(spark, sf, 1995, 1998), *out, B, overwrite=True)
     before = {tuple(r) for r in shards.read_manifest(spark, out[1]).collect()}
-    export(make(spark, sf, 1996, 1997, "id % 2 = 0"), *out, B)
+    files = spark.read.parquet(out[1]).select("slice_start", F.input_file_name())
+    files_before = {tuple(r) for r in files.collect()}
+    export(make(spark, sf, 1996, 1997, "id % 2 = 0"), *out, B, years=(1996, 1997))
+    kept = {f for f in files_before if f[0] != year_start_ns(1996)}
+    assert kept < {tuple(r) for r in spark.read.parquet(out[1]).select("slice_start", F.input_file_name()).collect()}
     after = {tuple(r) for r in shards.read_manifest(spark, out[1]).collect()}
     other = {r for r in before if r[0] != year_start_ns(1996)}
     assert other < after
