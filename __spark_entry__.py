@@ -28,6 +28,7 @@ except ModuleNotFoundError as missing:  # these parts can be taken out; what els
 
 FOLDS = folds.make_folds(**views.FOLD_SETTINGS)
 FIRST = FOLDS[0]
+SHARD_BYTES = 15_000_000
 # Time points and features of the examples that the model queries fit, and where the fits stop.
 PRICE_SHAPE = (0, 1)
 FIT_TOLERANCE = 1e-10
@@ -103,6 +104,28 @@ def convert_schema(spark, sf_dir):
     )
 
 
+def _written(spark: SparkSession, sf_dir: str, y_cols: tuple[str, ...]) -> DataFrame:
+    """Converts papers with their vectors and labels to one of the two schemas, writes them and reads them back."""
+    wide = views.raw_papers(spark, sf_dir).join(views.vectors(spark, sf_dir), "id")
+    wide = wide.join(views.labelled_papers(spark, sf_dir).select("id", *Y_COLS), "id")
+    wide = wide.select("id", "publication_date_int", "refs_text", *Y_COLS, *vec.unpack("embedding", N_FEATURES))
+    path = scratch.new_path(spark, "papers")
+    schema = datasets.papers_schema(N_FEATURES, y_cols=y_cols)
+    datasets.write_papers(datasets.convert_references(wide, "refs_text", schema), path)
+    return datasets.open_dataset(spark, path).select(
+        "id", "publication_date_int", F.array_join(F.col("refs").cast("array<string>"), ",").alias("refs"),
+        views.vector_text(vec.pack(N_FEATURES)).alias("embedding"), *y_cols,
+    )
+
+
+def written_papers(spark, sf_dir):
+    return _written(spark, sf_dir, ())
+
+
+def written_labelled_papers(spark, sf_dir):
+    return _written(spark, sf_dir, Y_COLS)
+
+
 def date_conversions(spark, sf_dir):
     ns = F.col("publication_date_int")
     return views.papers(spark, sf_dir).select(
@@ -177,13 +200,21 @@ def example_targets(spark, sf_dir):
     )
 
 
-def persisted_examples(spark, sf_dir):
-    kept = lazy.keep(_examples(spark, sf_dir))
+def _kept_totals(spark: SparkSession, sf_dir: str, on_disk: bool) -> DataFrame:
+    kept = lazy.keep(_examples(spark, sf_dir), on_disk)
     millionths = F.transform("features", lambda x: F.floor(x.cast("double") * 1000000))
     total = F.aggregate(millionths, F.lit(0).cast("bigint"), lambda a, x: a + x)
     return kept.agg(F.count("*").alias("n_examples"), F.sum(total).alias("checksum"))
 
 
+def persisted_examples(spark, sf_dir):
+    return _kept_totals(spark, sf_dir, on_disk=False)
+
+
+def disk_examples(spark, sf_dir):
+    return _kept_totals(spark, sf_dir, on_disk=True)
+
+
 # Slices, shards and manifest
 
 
@@ -204,6 +235,11 @@ def shard_manifest(spark, sf_dir):
     return slicing.shard_counts(_sharded(spark, sf_dir))
 
 
+def budget_manifest(spark, sf_dir):
+    rows = timeline.rows_per_shard(SHARD_BYTES, TIMEPOINTS, N_FEATURES)
+    return slicing.shard_counts(slicing.assign_shards(_sliced(spark, sf_dir), rows))
+
+
 def shard_names(spark, sf_dir):
     name = timeline.shard_name(F.col("slice_start"), F.col("slice_end"), F.col("shard"))
     named = shard_manifest(spark, sf_dir).select(name.alias("name"))
@@ -406,10 +442,10 @@ def lr_test_scores(spark, sf_dir):
 
 
 _QUERIES = (
-    scan_projection, scan_range, scan_isin, repeated_ids, parse_references, convert_schema, date_conversions,
+    scan_projection, scan_range, scan_isin, repeated_ids, parse_references, convert_schema, written_papers, written_labelled_papers, date_conversions,
     explode_references, available_references, reference_dates, rank_references, reference_features,
     example_features, examples_between, wide_layout_totals, example_width_check, example_targets, persisted_examples,
-    time_slices, wide_time_slices, shard_plan, shard_manifest, shard_names, select_shards_overlap, train_example_count,
+    disk_examples, time_slices, wide_time_slices, shard_plan, shard_manifest, budget_manifest, shard_names, select_shards_overlap, train_example_count,
     export_roundtrip, exported_manifest, exported_range, manifest_upsert,
     fold_table, fold_roles, fold_roles_overlap, leakage_audit, leakage_audit_overlap,
     batch_ids, whole_batches, shuffled_batches, role_batches,

@@ -431,3 +431,19 @@ ORACLE_SQL = {
         "SELECT fold, id, y::DOUBLE AS y, round(p, 4) AS p FROM fit_scores WHERE role = 'test' AND trial = 0", "fit_scores"
     ),
 }
+
+# Writing and keeping rows does not change them.
+ORACLE_SQL["written_papers"] = ORACLE_SQL["convert_schema"]
+ORACLE_SQL["disk_examples"] = ORACLE_SQL["persisted_examples"]
+ORACLE_SQL["written_labelled_papers"] = ORACLE_SQL["convert_schema"].replace(
+    "SELECT p.id, p.publication_date_int,", "SELECT p.id, p.publication_date_int, p.above_mean, p.fulfilled,"
+)
+ORACLE_SQL["budget_manifest"] = _with(
+    f"""SELECT slice_start, slice_end, shard, count(*) AS n_examples
+    FROM (
+        SELECT slice_start, slice_end,
+               ((row_number() OVER (PARTITION BY slice_start ORDER BY id) - 1) // (15000000 // ({K + 1} * {N} * 4 * 32)))::INTEGER AS shard
+        FROM sliced
+    ) GROUP BY slice_start, slice_end, shard""",
+    "sliced",
+)

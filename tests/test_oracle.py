@@ -13,7 +13,7 @@ def con(sf):
 
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"lr_search_best", "lr_fold_metrics"}
+    assert {q.__name__ for q in entry._QUERIES} <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
