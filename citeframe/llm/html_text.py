@@ -6,6 +6,10 @@ the less often it stands in content the lower. One linear scan finds the contigu
 run that are no article text (forms, scripts, menus, adverts, notices, comments and so on) are left out, character
 references are decoded, white space within a block becomes one space, and blocks are joined by an empty line.
 
+Classes, ids and roles switch a part off only where they name nothing but boilerplate (``ad``, ``cookie-notice``) and the part
+holds no headline, article or main element and little of the page's text. Any other mention (``has-sidebar``, ``share-price``) is
+evidence: the words in it have weights of their own, unless it holds a headline, article or main element.
+
 Labelled pages are those that say where their content is, by an ``article`` or ``main`` element; the weights come from all of
 them and are used on every page, whether it says so or not. Without any, fixed starting counts decide.
 
@@ -19,6 +23,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,6 +55,13 @@ _BOILERPLATE = frozenset(
     "sharing social related recommended newsletter subscribe signup login popup modal overlay widget pagination pager toolbar masthead "
     "contentinfo complementary search skip".split()
 )
+#: Words that say nothing else about a part than where or what shape it is.
+_FITTING = frozenset(
+    "area bar block body bottom box btn button buttons center container content count form header icon icons inner item items js left "
+    "link links list outer panel right row section slot small text title top unit wrap wrapper".split()
+)
+#: Most of a page's words that a part may hold and be switched off by its class, id or role.
+LITTLE = 0.3
 #: An open paragraph ends where one of these opens.
 _ENDS_P = _BLOCK - {"body", "html", "caption", "option"}
 _LISTED = _BLOCK | _INLINE | _VOID
@@ -57,7 +69,7 @@ _LISTED = _BLOCK | _INLINE | _VOID
 #: Elements of running text, and the starting counts (in content, outside) of words and inline tags in them.
 _PROSE = "p h1 h2 h3 h4 blockquote pre dd figcaption".split()
 _PRIOR = (
-    {f"w:{n}": (9, 1) for n in _PROSE} | {f"w:{n}+a": (3, 1) for n in _PROSE} | {"w:li": (2, 1), "w:li+a": (1, 9)}
+    {f"w:{n}": (9, 1) for n in _PROSE} | {f"w:{n}+a": (3, 1) for n in _PROSE} | {f"w:{n}+m": (2, 1) for n in _PROSE} | {"w:li": (2, 1), "w:li+a": (1, 9)}
     | {f"t:{c}{n}|{b}": (9, 1) for c in ("", "/") for n in _INLINE for b in _PROSE}
     | {f"t:{c}{n}": (9, 1) for c in ("", "/") for n in _PROSE} | {f"t:{c}{n}": (3, 1) for c in ("", "/") for n in ("li", "ul", "ol")}
 )
@@ -65,22 +77,25 @@ _PRIOR = (
 _OFF = -0.02
 
 
-def _is_boilerplate(name: str, attributes: str, in_article: bool) -> bool:
-    if name in _NEVER or name == "header" and not in_article:
-        return True
-    if not attributes or name in ("body", "html", "main", "article"):
-        return False
-    for key, *values in _ATTRIBUTE.findall(attributes):
-        value = "".join(values).lower()
-        key = key.lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        elif not _BOILERPLATE.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+def _is_hidden(attributes: list[tuple[str, str]]) -> bool:
+    return any(
+        key == "hidden" or key == "aria-hidden" and value == "true"
+        or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)
+        for key, value in attributes
+    )
+
+
+def _mark(attributes: list[tuple[str, str]]) -> int:
+    """2 where a class, id or role names nothing but boilerplate, 1 where it mentions some, else 0."""
+    found = 0
+    for key, value in attributes:
+        if key not in ("class", "id", "role"):
+            continue
+        for label in value.split():
+            parts = {x for x in re.split(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])", label) if x and not x.isdigit()}
+            if not _BOILERPLATE.isdisjoint(parts):
+                found = max(found, 2 if parts <= _BOILERPLATE | _FITTING else 1)
+    return found
 
 
 class Token:
@@ -92,18 +107,23 @@ class Token:
         self.feature, self.text, self.n, self.off, self.breaks, self.edge = feature, text, n, off, breaks, edge
 
 
-def tokens(page: str) -> Iterator[Token]:
+def tokens(page: str) -> list[Token]:
     """Words and tags in order. ``edge``: +1 where an article or main element opens, -1 where it closes."""
+    out: list[Token] = []
     open_: list[str] = []
+    marks: list[list[int]] = []  # mark, first token and end of marked parts
+    marked: list[tuple[int, int]] = []  # depth and number of the marks still open
     off_from = 0  # depth at which a part without article text began, 0 for none
     links = articles = 0
 
-    def close(depth: int) -> None:
+    def close(depth: int, end: int) -> None:
         nonlocal off_from, links, articles
         while len(open_) > depth:
             gone = open_.pop()
             links -= gone == "a"
             articles -= gone == "article"
+        while marked and marked[-1][0] > depth:
+            marks[marked.pop()[1]][2] = end
         if off_from > len(open_):
             off_from = 0
 
@@ -124,29 +144,67 @@ def tokens(page: str) -> Iterator[Token]:
             text = html.unescape(raw)
             n = len(text.split())
             if n or text:
-                yield Token("w:" + around() + ("+a" if links else ""), text, n, bool(off_from))
+                out.append(Token("w:" + around() + ("+a" if links else ""), text, n, bool(off_from)))
             continue
         name = name.lower()
         if m[2]:
             inside = bool(off_from)
             if name in open_:
-                close(len(open_) - 1 - open_[::-1].index(name))
-            yield Token(tag("/", name), off=inside, breaks=name in _BLOCK, edge=-1 if name in ("article", "main") else 0)
+                depth = len(open_) - 1 - open_[::-1].index(name)
+                close(depth + 1, len(out))
+                close(depth, len(out) + 1)
+            out.append(Token(tag("/", name), off=inside, breaks=name in _BLOCK, edge=-1 if name in ("article", "main") else 0))
             continue
         if name in _ENDS_P and "p" in open_:
-            close(len(open_) - 1 - open_[::-1].index("p"))
+            close(len(open_) - 1 - open_[::-1].index("p"), len(out))
         elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and open_ and open_[-1] == name:
-            close(len(open_) - 1)
+            close(len(open_) - 1, len(out))
         attributes = m[4] or ""
         if name not in _VOID and not attributes.endswith("/"):
             open_.append(name)
             links += name == "a"
             articles += name == "article"
-            if not off_from and _is_boilerplate(name, attributes, articles > 0):
-                off_from = len(open_)
-        yield Token(tag("", name), off=bool(off_from), breaks=name in _BLOCK, edge=1 if name in ("article", "main") else 0)
+            said = [(k.lower(), "".join(v).lower()) for k, *v in _ATTRIBUTE.findall(attributes)] if attributes else []
+            mark = _mark(said)
+            if not off_from:
+                if name in _NEVER or name == "header" and not articles:
+                    off_from = len(open_)
+                elif name not in ("body", "html", "main", "article"):
+                    if _is_hidden(said):
+                        off_from = len(open_)
+                    elif mark:
+                        marked.append((len(open_), len(marks)))
+                        marks.append([mark, len(out), 0])
+                # A comment is often an article element of its own.
+                if not off_from and (name in ("main", "h1") or name == "article" and mark < 2):
+                    for _, k in marked:
+                        marks[k][0] = 0
+                    marked.clear()
+        out.append(Token(tag("", name), off=bool(off_from), breaks=name in _BLOCK, edge=1 if name in ("article", "main") else 0))
         if name == "br":
-            yield Token("w:" + around(), " ", 0, bool(off_from))
+            out.append(Token("w:" + around(), " ", 0, bool(off_from)))
+    close(0, len(out))
+    _judge(out, marks)
+    return out
+
+
+def _judge(row: list[Token], marks: list[list[int]]) -> None:
+    """Switches off the marked parts that name nothing but boilerplate and are small; the words of other ones get weights of
+    their own."""
+    words = list(accumulate((0 if t.off or t.feature[0] == "t" else t.n for t in row), initial=0))
+    off_to = told_to = 0
+    for mark, start, end in marks:
+        if not mark or start < off_to:
+            continue
+        if mark == 2 and words[end] - words[start] <= LITTLE * words[-1]:
+            for t in row[start:end]:
+                t.off = True
+            off_to = end
+        else:
+            for t in row[max(start, told_to) : end]:
+                if t.feature[0] == "w":
+                    t.feature += "+m"
+            told_to = max(told_to, end)
 
 
 # Weights

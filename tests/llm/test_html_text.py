@@ -91,3 +91,18 @@ def test_rows_with_nulls_and_no_rows(spark):
     found = html_text.extract_pages(pages)
     assert sorted((r.text, r.n_chars) for r in found.collect()) == [("", 0), ("", 0), ("", 0), ("same words here", 15)]
     assert html_text.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_class_words_switch_off_no_article():
+    story = "<h1>Head line</h1><p>Some words of the story itself.</p><p>More of the same story follows here.</p>"
+    want = "Head line\n\nSome words of the story itself.\n\nMore of the same story follows here."
+    wrappers = ("class='has-sidebar'", "id=page class='no-sidebar'", "class='post comments-open'", "class='content widget'", "class=sidebar")
+    for attributes in wrappers:
+        for inner, found in ((story, want), (f"<article>{story}</article>", want), (story[story.index("<p>") :], want.partition("\n\n")[2])):
+            assert text(f"<body><nav>Menu</nav><div {attributes}>{inner}</div></body>") == found, (attributes, inner)
+    section = "<section id='share-price'><p>The price of a share rose.</p></section>"
+    assert text(f"<article>{story}{section}<p>Last words of it.</p></article>") == f"{want}\n\nThe price of a share rose.\n\nLast words of it."
+    for mark in ("class='ad-slot'", "id=comments", "class='x share-buttons'", "class='comment-list'", "role=search", "class=ad300", "class='p hidden' hidden"):
+        assert text(f"<article>{story}<div {mark}><p>Not a part of it</p></div></article>") == want, mark
+    replies = "<section id=comments><article class=comment><p>A reader's words</p></article></section>"
+    assert text(f"<article>{story}{replies}</article>") == want
