@@ -1,7 +1,7 @@
 """Main text of web pages: the maximum-scoring contiguous run of tokens.
 
-A page is a row of words and tags. A word scores between -1 and 1 by how often words in its surroundings (the innermost open
-block, and whether in a link) belong to the content of labelled pages; a tag scores below zero,
+A page is a row of words and tags. Every word scores above zero: 1, raised or lowered by how often words in its surroundings
+(the innermost open block, and whether in a link) belong to the content of labelled pages; a tag scores below zero,
 the less often it stands in content the lower. One linear scan finds the contiguous run with the highest total. Parts of the
 run that are no article text (forms, scripts, menus, adverts, notices, comments and so on) are left out, character
 references are decoded, white space within a block becomes one space, and blocks are joined by an empty line.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 
 #: Score of a tag that never stands in content, in words.
 TAG_COST = 3.0
+#: How far labelled pages raise or lower the score of a word, which is 1 without them.
+WORD_CHANGE = 0.75
 
 _RAW = "script|style|textarea|title|noscript|template|iframe|svg|math|canvas|select|button|object|audio|video"
 _TOKEN = re.compile(
@@ -62,6 +65,10 @@ _FITTING = frozenset(
 )
 #: Most of a page's words that a part may hold and be switched off by its class, id or role.
 LITTLE = 0.3
+#: So few words are little on any page whose headline, article or main element stands elsewhere.
+FEW = 20
+#: Stands between links, and is no word alone.
+_BETWEEN = string.whitespace + "\xa0<>|/·•«»-–—"
 #: An open paragraph ends where one of these opens.
 _ENDS_P = _BLOCK - {"body", "html", "caption", "option"}
 _LISTED = _BLOCK | _INLINE | _VOID
@@ -70,8 +77,10 @@ _LISTED = _BLOCK | _INLINE | _VOID
 _PROSE = "p h1 h2 h3 h4 blockquote pre dd figcaption".split()
 _PRIOR = (
     {f"w:{n}": (9, 1) for n in _PROSE} | {f"w:{n}+a": (3, 1) for n in _PROSE} | {f"w:{n}+m": (2, 1) for n in _PROSE} | {"w:li": (2, 1), "w:li+a": (1, 9)}
-    | {f"t:{c}{n}|{b}": (9, 1) for c in ("", "/") for n in _INLINE for b in _PROSE}
-    | {f"t:{c}{n}": (9, 1) for c in ("", "/") for n in _PROSE} | {f"t:{c}{n}": (3, 1) for c in ("", "/") for n in ("li", "ul", "ol")}
+    | {f"w:{n}+a": (1, 9) for n in (_BLOCK | {"none"}) - {*_PROSE}} | {f"w:{n}+m": (1, 2) for n in (_BLOCK | {"none"}) - {*_PROSE}}
+    | {f"t:{c}{n}|{b}": (9, 1) for c in ("", "/") for n in _INLINE - {"a"} for b in _BLOCK | {"none"}}
+    | {f"t:{c}a|{b}": (9, 1) for c in ("", "/") for b in _PROSE}
+    | {f"t:{c}{n}": (9, 1) for c in ("", "/") for n in _BLOCK} | {f"t:{c}{n}": (3, 1) for c in ("", "/") for n in ("li", "ul", "ol")}
 )
 #: Score of words and tags in parts that are left out anyway: a run may pass over them, but gains nothing.
 _OFF = -0.02
@@ -142,7 +151,7 @@ def tokens(page: str) -> list[Token]:
             if raw[0] == "<" and len(raw) > 1:
                 continue  # a comment, a raw element or a broken end
             text = html.unescape(raw)
-            n = len(text.split())
+            n = len(text.split()) if text.strip(_BETWEEN) else 0
             if n or text:
                 out.append(Token("w:" + around() + ("+a" if links else ""), text, n, bool(off_from)))
             continue
@@ -192,11 +201,12 @@ def _judge(row: list[Token], marks: list[list[int]]) -> None:
     """Switches off the marked parts that name nothing but boilerplate and are small; the words of other ones get weights of
     their own."""
     words = list(accumulate((0 if t.off or t.feature[0] == "t" else t.n for t in row), initial=0))
+    few = FEW if any(t.feature in ("t:h1", "t:article", "t:main") and not t.off for t in row) else 0
     off_to = told_to = 0
     for mark, start, end in marks:
         if not mark or start < off_to:
             continue
-        if mark == 2 and words[end] - words[start] <= LITTLE * words[-1]:
+        if mark == 2 and words[end] - words[start] <= max(few, LITTLE * words[-1]):
             for t in row[start:end]:
                 t.off = True
             off_to = end
@@ -266,13 +276,17 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return at
 
 
+def _score(t: Token, weight: dict[str, float]) -> float:
+    if t.feature[0] == "t":
+        return weight.get(t.feature, -TAG_COST / 2)
+    return (1 + WORD_CHANGE * weight.get(t.feature, 0.0)) * t.n
+
+
 def main_text(page: str | None, weight: dict[str, float]) -> str:
     if not page:
         return ""
     row = list(tokens(page))
-    unseen = {"w": 0.0, "t": -TAG_COST / 2}
-    scores = [_OFF * t.n if t.off else weight.get(t.feature, unseen[t.feature[0]]) * t.n for t in row]
-    start, end = best_run(scores)
+    start, end = best_run([_OFF * t.n if t.off else _score(t, weight) for t in row])
     blocks, now = [], []
     for t in row[start:end]:
         if t.breaks:

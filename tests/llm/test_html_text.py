@@ -106,3 +106,27 @@ def test_class_words_switch_off_no_article():
         assert text(f"<article>{story}<div {mark}><p>Not a part of it</p></div></article>") == want, mark
     replies = "<section id=comments><article class=comment><p>A reader's words</p></article></section>"
     assert text(f"<article>{story}{replies}</article>") == want
+
+
+def test_words_of_any_block_count(spark, sf):
+    lines = ["One two three four five six.", "Seven <b>eight</b> nine ten.", "And the last line."]
+    want = [re.sub("<[^>]+>", "", x) for x in lines]
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("html").collect()
+    for weight in (WEIGHT, html_text.weights(html_text.label_counts(r.html for r in pages))):
+        for block in ("div", "section", "td", "li", "center", "dd"):
+            page = "<body><nav>Menu</nav>" + "".join(f"<{block}>{x}</{block}>" for x in lines) + "</body>"
+            assert html_text.main_text(page, weight) == "\n\n".join(want), block
+        rows = "".join(f"<tr><td>{x}</td></tr>" for x in lines)
+        assert html_text.main_text(f"<html><body><table><tbody>{rows}</tbody></table></body></html>", weight) == "\n\n".join(want)
+        for page in (f"<html><body>{'<br>'.join(lines)}</body></html>", "<br>".join(lines)):
+            assert html_text.main_text(page, weight) == " ".join(want)
+        assert html_text.main_text(" ".join(want), weight) == " ".join(want)
+        assert html_text.main_text("just words", weight) == "just words"
+        # Such blocks at the start and the end of an article.
+        page = f"<body><div>{lines[0]}</div><p>{lines[1]}</p><div>{lines[2]}</div></body>"
+        assert html_text.main_text(page, weight) == "\n\n".join(want)
+        # Rows of links do not.
+        links = "".join(f"<a href={i}>Link</a> | " for i in range(9))
+        assert html_text.main_text(f"<body><div>{links}</div>{page}<div>{links}</div>", weight) == "\n\n".join(want)
+    out = html_text.weights(html_text.label_counts(["<div>out of it</div><article><p>in it</p></article>"] * 99))
+    assert html_text.main_text("<div>Only words of a block that labelled pages never have in content</div>", out).startswith("Only words")
