@@ -35,7 +35,8 @@ TAG_COST = 3.0
 #: How far labelled pages raise or lower the score of a word, which is 1 without them.
 WORD_CHANGE = 0.75
 
-_RAW = "script|style|textarea|title|noscript|template|iframe|svg|math|canvas|select|button|object|audio|video"
+#: Elements whose text is no markup: they run to their end tag or the end of the page.
+_RAW = "script|style|textarea|title|noscript|iframe"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:\"[^\"<]*\"|'[^'<]*'|[^'\"<>])*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"<]*\"|'[^'<]*'|[^'\"<>])*+|[^<>]*)>|<[a-zA-Z/][^<>]*\Z|[^<]+|<",
@@ -51,6 +52,9 @@ _BLOCK = frozenset(
     "tfoot th thead tr ul".split()
 )
 _INLINE = frozenset("a abbr b bdi bdo br cite code em font i img input label mark q s small span strong sub sup time u var".split())
+_SHUT_TAG = re.compile(r"<(?:template|svg|math|canvas|select|button|object|audio|video)\b", re.IGNORECASE)
+#: Left out with all they hold. One that is never closed ends where a block or a line begins.
+_SHUT = frozenset("template svg math canvas select button object audio video".split())
 _NEVER = frozenset("nav footer aside form menu dialog fieldset search".split())
 _BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice "
@@ -86,6 +90,10 @@ _PRIOR = (
 _OFF = -0.02
 
 
+def _self_closed(attributes: str) -> bool:
+    return attributes.rstrip().endswith("/")
+
+
 def _is_hidden(attributes: list[tuple[str, str]]) -> bool:
     return any(
         key == "hidden" or key == "aria-hidden" and value == "true"
@@ -116,6 +124,20 @@ class Token:
         self.feature, self.text, self.n, self.off, self.breaks, self.edge = feature, text, n, off, breaks, edge
 
 
+def _unclosed(page: str) -> set[int]:
+    """Where elements of _SHUT open that no end tag closes."""
+    open_: dict[str, list[int]] = {name: [] for name in _SHUT}
+    for m in _TOKEN.finditer(page) if _SHUT_TAG.search(page) else ():
+        name = (m[3] or "").lower()
+        if name in _SHUT:
+            if not m[2]:
+                if not _self_closed(m[4] or ""):
+                    open_[name].append(m.start())
+            elif open_[name]:
+                open_[name].pop()
+    return {at for places in open_.values() for at in places}
+
+
 def tokens(page: str) -> list[Token]:
     """Words and tags in order. ``edge``: +1 where an article or main element opens, -1 where it closes."""
     out: list[Token] = []
@@ -123,18 +145,21 @@ def tokens(page: str) -> list[Token]:
     marks: list[list[int]] = []  # mark, first token and end of marked parts
     marked: list[tuple[int, int]] = []  # depth and number of the marks still open
     off_from = 0  # depth at which a part without article text began, 0 for none
+    shut_from = 0  # the same for the elements of _SHUT
+    unclosed_from = 0  # and for one of them that is never closed
     links = articles = 0
 
     def close(depth: int, end: int) -> None:
-        nonlocal off_from, links, articles
+        nonlocal off_from, shut_from, unclosed_from, links, articles
         while len(open_) > depth:
             gone = open_.pop()
             links -= gone == "a"
             articles -= gone == "article"
         while marked and marked[-1][0] > depth:
             marks[marked.pop()[1]][2] = end
-        if off_from > len(open_):
-            off_from = 0
+        off_from = off_from if off_from <= depth else 0
+        shut_from = shut_from if shut_from <= depth else 0
+        unclosed_from = unclosed_from if unclosed_from <= depth else 0
 
     def around() -> str:
         return next((x for x in reversed(open_) if x in _BLOCK), "none")
@@ -144,12 +169,13 @@ def tokens(page: str) -> list[Token]:
             return f"t:{mark}{name}"
         return f"t:{mark}{name if name in _LISTED else 'other'}|{around()}"
 
+    unclosed = _unclosed(page)
     for m in _TOKEN.finditer(page):
         name = m[3]
         if name is None:
             raw = m[0]
-            if raw[0] == "<" and len(raw) > 1:
-                continue  # a comment, a raw element or a broken end
+            if raw[0] == "<" and len(raw) > 1 or shut_from:
+                continue  # a comment, a raw element, a broken end or a part left out
             text = html.unescape(raw)
             n = len(text.split()) if text.strip(_BETWEEN) else 0
             if n or text:
@@ -157,6 +183,10 @@ def tokens(page: str) -> list[Token]:
             continue
         name = name.lower()
         if m[2]:
+            if shut_from and (name in open_[shut_from - 1 :] or name not in open_) or name in _SHUT:
+                if name in open_:
+                    close(len(open_) - 1 - open_[::-1].index(name), len(out))
+                continue
             inside = bool(off_from)
             if name in open_:
                 depth = len(open_) - 1 - open_[::-1].index(name)
@@ -164,12 +194,23 @@ def tokens(page: str) -> list[Token]:
                 close(depth, len(out) + 1)
             out.append(Token(tag("/", name), off=inside, breaks=name in _BLOCK, edge=-1 if name in ("article", "main") else 0))
             continue
+        if unclosed_from and (name in _BLOCK or name == "br"):
+            close(unclosed_from - 1, len(out))
+        if shut_from or name in _SHUT:
+            if name not in _VOID and not _self_closed(m[4] or ""):
+                open_.append(name)
+                links += name == "a"
+                articles += name == "article"
+                shut_from = shut_from or len(open_)
+                if m.start() in unclosed:
+                    unclosed_from = unclosed_from or len(open_)
+            continue
         if name in _ENDS_P and "p" in open_:
             close(len(open_) - 1 - open_[::-1].index("p"), len(out))
         elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and open_ and open_[-1] == name:
             close(len(open_) - 1, len(out))
         attributes = m[4] or ""
-        if name not in _VOID and not attributes.endswith("/"):
+        if name not in _VOID and not _self_closed(attributes):
             open_.append(name)
             links += name == "a"
             articles += name == "article"

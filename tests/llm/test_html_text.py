@@ -130,3 +130,18 @@ def test_words_of_any_block_count(spark, sf):
         assert html_text.main_text(f"<body><div>{links}</div>{page}<div>{links}</div>", weight) == "\n\n".join(want)
     out = html_text.weights(html_text.label_counts(["<div>out of it</div><article><p>in it</p></article>"] * 99))
     assert html_text.main_text("<div>Only words of a block that labelled pages never have in content</div>", out).startswith("Only words")
+
+
+def test_only_raw_text_runs_to_the_end():
+    two = "Words before the icon\n\nand the words after it"
+    for name in ("template", "svg", "math", "canvas", "select", "button", "object", "audio", "video"):
+        for later in ("", f"<{name}>x</{name}>"):
+            for icon in (f"<{name} id='x'/>", f"<{name} width=1 / >", f"<div><{name}>Go</div>", f"<{name}>Go", f"<{name}><a>Go</a><i>x</{name}>", f"</{name}>"):
+                page = f"<body><p>Words before the icon</p>{icon}<p>and the words after it</p>{later}</body>"
+                assert text(page) == two, page
+        assert text(f"<p>one two <{name}><g>no</b></{name}> three four") == "one two three four"
+        assert text(f"<p>one two <{name}>Go</p>three four five") == "one two\n\nthree four five"
+    drawing = "<svg>" + "<path d='M0'></path>" * 900 + "</svg>"
+    assert text(f"<p>one two {drawing} three four</p>") == "one two three four"
+    for name in ("script", "style", "textarea", "title", "noscript", "iframe"):
+        assert text(f"<p>one two three</p><{name}><p>not this</p>") == "one two three"
