@@ -6,6 +6,10 @@ those terms stand in the corpus: row, position and the nine terms to each side,
 the other terms hold at that place. Intersecting them there gives the run of terms around the posting that the item has at
 the same offsets; a run as long as the window is an exact match.
 
+Edited copies are proximity matches. Each window is then searched from several of its rarest terms that the corpus has, so that
+a term replaced hides none of the others; around every place the item's terms that stand near their offsets are marked, and
+the marks of all places of about one shift are counted against all terms of the item.
+
 Only terms that some window needs are stored. The terms looked up are broadcast, in blocks of at most ``BROADCAST`` bytes, so a
 larger benchmark takes more passes and no larger broadcast; everything else that does not fit is joined by shuffles.
 
@@ -23,6 +27,10 @@ from pyspark.sql import functions as F
 from citeframe.sources import scratch
 
 N = 10
+#: Terms of a window that edited copies are searched from.
+SEVERAL = 3
+#: Positions of terms that one number marks.
+_BITS = 62
 #: Most bytes of terms, or of benchmark rows, that are broadcast.
 BROADCAST = 16_000_000
 _BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -63,18 +71,38 @@ def _beside(words: Column, at: Column, size: Column) -> tuple[Column, Column]:
     return before, after
 
 
-def lookups(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """(item_id, item, length, term, at, before, after): the rarest place of every window whose terms all may occur."""
+def _known(items: DataFrame, counts: DataFrame) -> DataFrame:
     spread = items.select("item", "item_id", "terms", F.posexplode("terms").alias("at", "term")).withColumn("length", F.size("terms"))
-    known = spread.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    ahead = Window.partitionBy("item").orderBy("at").rowsBetween(0, N - 1)
-    rarest = known.withColumn("r", F.min(F.struct("n", "at", "term")).over(ahead))
-    rarest = rarest.filter((F.col("at") <= F.greatest(F.col("length") - N, F.lit(0))) & (F.col("r.n") > 0))
-    places = rarest.select("item", "item_id", "length", "terms", F.col("r.term").alias("term"), F.col("r.at").alias("at")).distinct()
+    return spread.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def _places(windows: DataFrame) -> DataFrame:
+    places = windows.select("item", "item_id", "length", "terms", F.col("r.term").alias("term"), F.col("r.at").alias("at")).distinct()
     before, after = _beside(F.col("terms"), F.col("at"), F.col("length"))
     return places.select("item", "item_id", "length", "term", "at", before.alias("before"), after.alias("after"))
 
 
+def _ahead(value: Column) -> Column:
+    return value.over(Window.partitionBy("item").orderBy("at").rowsBetween(0, N - 1))
+
+
+def _starts() -> Column:
+    return F.col("at") <= F.greatest(F.col("length") - N, F.lit(0))
+
+
+def lookups(items: DataFrame, counts: DataFrame) -> DataFrame:
+    """(item_id, item, length, term, at, before, after): the rarest place of every window whose terms all may occur."""
+    rarest = _known(items, counts).withColumn("r", _ahead(F.min(F.struct("n", "at", "term"))))
+    return _places(rarest.filter(_starts() & (F.col("r.n") > 0)))
+
+
+def near_lookups(items: DataFrame, counts: DataFrame, several: int = SEVERAL) -> DataFrame:
+    """The same columns: the rarest places of every window among the terms that occur."""
+    there = _ahead(F.collect_list(F.when(F.col("n") > 0, F.struct("n", "at", "term"))))
+    windows = _known(items, counts).withColumn("rarest", F.slice(F.array_sort(there), 1, several))
+    return _places(windows.filter(_starts()).withColumn("r", F.explode("rarest")))
+
+
 def store_index(spark: SparkSession, docs: DataFrame, vocabulary: DataFrame, path: str) -> DataFrame:
     """Writes and returns the postings of a vocabulary: (row, doc_id, term, pos, before, after), and for every document a row
     with the empty term whose position is the number of its terms."""
@@ -122,20 +150,75 @@ def phrase_matches(index: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
+def _near(terms_: Column, beside: Column, slack: int, place) -> Column:
+    """Places of the item's terms on one side that the text has there too, shifted by up to ``slack``."""
+
+    def found(term: Column, k: Column) -> Column:
+        first = F.greatest(k + 1 - slack, F.lit(1))
+        return F.when(F.array_contains(F.slice(beside, first, k + 2 + slack - first), term), place(k))
+
+    return F.filter(F.transform(terms_, found), lambda at: at.isNotNull())
+
+
 def proximity_matches(index: DataFrame, wanted: DataFrame, slack: int = 5, share: float = 0.8) -> DataFrame:
-    """(row, item, item_id, low, high): places where at least ``share`` of the terms an item is searched by stand near the
-    item's offsets, whatever stands between them. Terms shifted against each other by up to ``slack`` positions are always
-    found together, beyond twice the slack never: shifts are put into bins, laid twice, half a bin apart."""
-    of_item = wanted.select("term", "item", "item_id", "at")
-    places = wanted.select("item", "at").distinct().groupBy("item").agg(F.count("*").alias("places"))
-    joined = index.filter(F.col("term") != _END).join(_small(of_item, F.octet_length("term") + 40), "term")
+    """(row, item, item_id, low, high, n, length): places where at least ``share`` of all terms of an item stand near the
+    item's offsets, whatever stands between them; ``n`` of its ``length`` terms do. Terms shifted against each other by up to
+    ``slack`` positions are always found together, beyond twice the slack never: shifts are put into bins, laid twice, half a
+    bin apart. A term alone, without any other of the item near it, counts for items of one term only."""
+    of_item = wanted.select("term", "item", "item_id", "at", "length", F.col("before").alias("i_before"), F.col("after").alias("i_after"))
+    size = F.octet_length("term") + F.octet_length(F.array_join("i_before", "")) + F.octet_length(F.array_join("i_after", "")) + 400
+    joined = index.filter(F.col("term") != _END).join(_small(of_item, size), "term")
+    before = _near(F.col("i_before"), F.col("before"), slack, lambda k: F.col("at") - k - 1)
+    after = _near(F.col("i_after"), F.col("after"), slack, lambda k: F.col("at") + k + 1)
+    agreed = joined.withColumn("agreed", F.concat(F.array("at"), before, after))
+    agreed = agreed.filter(F.size("agreed") >= F.least("length", F.lit(2)))
+
+    def marks(block: Column) -> Column:
+        of_block = F.filter("agreed", lambda at: F.floor(at / _BITS) == block)
+        bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % _BITS).cast("int"))
+        return F.struct(block.alias("block"), F.aggregate(of_block, F.lit(0).cast("bigint"), lambda m, at: m.bitwiseOR(bit(at))).alias("mask"))
+
+    blocks = F.transform(F.array_distinct(F.transform("agreed", lambda at: F.floor(at / _BITS))), marks)
     shift, width = F.col("pos") - F.col("at"), 2 * slack + 1
-    bins = joined.withColumn("bin", F.explode(F.array(F.floor(shift / width) * 2, F.floor((shift + slack) / width) * 2 + 1)))
-    grouped = bins.groupBy("row", "item", "bin").agg(
-        F.first("item_id").alias("item_id"), F.count_distinct("at").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high")
+    bins = F.array(F.floor(shift / width) * 2, F.floor((shift + slack) / width) * 2 + 1)
+    marked = agreed.select("row", "item", "item_id", "length", "pos", F.explode(blocks).alias("m"), bins.alias("bins"))
+    marked = marked.select("row", "item", "item_id", "length", "pos", "m.block", "m.mask", F.explode("bins").alias("bin"))
+    of_block = marked.groupBy("row", "item", "bin", "block").agg(
+        F.first("item_id").alias("item_id"), F.first("length").alias("length"), F.bit_count(F.bit_or("mask")).alias("n"),
+        F.min("pos").alias("low"), F.max("pos").alias("high"),
+    )
+    grouped = of_block.groupBy("row", "item", "bin").agg(
+        F.first("item_id").alias("item_id"), F.first("length").alias("length"), F.sum("n").cast("int").alias("n"),
+        F.min("low").alias("low"), F.max("high").alias("high"),
     )
-    near = grouped.join(places, "item").filter(F.col("n") >= F.col("places") * share)
-    return near.select("row", "item", "item_id", "low", "high").distinct()
+    near = grouped.filter(F.col("n") >= F.col("length") * share)
+    return near.select("row", "item", "item_id", "low", "high", "n", "length").distinct()
+
+
+def proximity(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """(row, doc_id, item, item_id, low, high, n, length) of every document and item that match nearly: where most of the
+    item's terms do, then the first. Places are not stored: each block of terms is read from the documents."""
+    items = benchmark_terms(benchmark)
+    path = scratch.new_path(spark, "near-lookups")
+    near_lookups(items, term_counts(docs, items.select(F.explode("terms").alias("term")).distinct())).write.parquet(path)
+    wanted = spark.read.parquet(path)
+    vocabulary = wanted.select("term").distinct()
+    row = F.struct(F.monotonically_increasing_id().alias("number"), "doc_id").alias("row")
+    words = docs.select(row, terms(F.col("text")).alias("words"))
+    found = words.select("row", "words", F.posexplode("words").alias("pos", "w")).withColumn("term", lowered(F.col("w")))
+    size = vocabulary.agg(F.sum(F.octet_length("term") + 8)).first()[0] or 0
+    blocks = int(size // BROADCAST) + 1
+    before, after = _beside(F.col("words"), F.col("pos"), F.size("words"))
+    postings = None
+    for block in range(blocks):
+        part = found.join(F.broadcast(vocabulary.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block)), "term", "left_semi")
+        part = part.select("row", "term", "pos", F.transform(before, lowered).alias("before"), F.transform(after, lowered).alias("after"))
+        postings = part if postings is None else postings.union(part)
+    near = proximity_matches(postings, wanted, **options)
+    best = F.min(F.struct((-F.col("n")).alias("least"), "low", "high", "n", "length", "item_id")).alias("best")
+    return near.groupBy("row", "item").agg(best).select(
+        "row.number", "row.doc_id", "item", "best.item_id", "best.low", "best.high", "best.n", "best.length"
+    ).withColumnRenamed("number", "row")
 
 
 def build(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -73,6 +73,14 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.proximity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "item_id", F.col("n").alias("n_agreeing"), F.col("length").alias("n_terms"), (F.col("n") / F.col("length")).alias("agreement"),
+        "low", "high",
+    )
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -147,6 +155,6 @@ ORACLE_SQL = {
 
 _ALL = (
     op1_sharding, op2_sentencepiece, op3_suffix_array_dedup, op4_chat_formatting, op5_benchmark_decontamination,
-    op6_license_scan, op7_quality_classifier, op8_nearest_neighbours, op9_html_extraction, op10_simhash_near_dedup,
+    op5_proximity_matches, op6_license_scan, op7_quality_classifier, op8_nearest_neighbours, op9_html_extraction, op10_simhash_near_dedup,
 )
 QUERIES = {q.__name__: q for q in _ALL}

@@ -86,3 +86,31 @@ def test_near_phrases(spark):
 def test_no_python_on_the_main_path(spark, sf, capsys):
     queries.op5_benchmark_decontamination(spark, sf).explain()
     assert "Python" not in capsys.readouterr().out
+
+
+def test_edited_items_without_an_intact_copy(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    long = " ".join(f"w{i}" for i in range(150))
+    w = item.split()
+    docs = [
+        (1, "so " + " ".join([*w[:5], "other", *w[6:]]) + " end"), (2, " ".join([*w[:4], "put", "in", *w[4:7], "there", *w[8:]]).upper()),
+        (3, " ".join(reversed(w))), (4, "alpha beta gamma delta and then something else is said here"), (5, None), (6, "one Two"), (7, "two one"),
+        (8, " ".join("zz" if i % 9 == 4 else x for i, x in enumerate(long.split()))), (8, " ".join(long.split()[:100])), (9, "x " * 30),
+    ]
+    bench = [(7, item), (8, long), (9, "one two"), (None, item), (10, "nowhere at all"), (11, None)]
+    d = spark.createDataFrame(docs, DOCS).withColumn("row", F.lit("clash")).repartition(3)
+    found = decontamination.proximity(spark, d, spark.createDataFrame(bench, ITEMS)).select("doc_id", "item_id", "n", "length").collect()
+    want = [(1, 7, 11, 12), (1, None, 11, 12), (2, 7, 11, 12), (2, None, 11, 12), (6, 9, 2, 2), (8, 8, 133, 150)]
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+
+
+def test_near_matches_with_more_terms_than_one_broadcast(spark, sf, monkeypatch):
+    docs, items = corpus()
+    d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    want = sorted(map(tuple, decontamination.proximity(spark, d, i).select("doc_id", "item_id", "n", "low").collect()), key=str)
+    assert {(200, 9), (205, 9)} & {r[:2] for r in want} == {(200, 9)}
+    monkeypatch.setattr(decontamination, "BROADCAST", 40)
+    assert sorted(map(tuple, decontamination.proximity(spark, d, i).select("doc_id", "item_id", "n", "low").collect()), key=str) == want
+    hit = {r.doc_id for r in queries.op5_benchmark_decontamination(spark, sf).filter("contaminated").collect()}
+    near = queries.op5_proximity_matches(spark, sf).collect()
+    assert hit & {r.doc_id for r in near} and all(0.8 <= r.agreement <= 1 for r in near)
