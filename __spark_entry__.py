@@ -441,6 +441,30 @@ def lr_test_scores(spark, sf_dir):
     return _rounded(crossval.score_saved(spark, path, FOLDS, models, *PRICE_SHAPE), 4)
 
 
+# The same on the full sequences: every time point and feature of the exported examples. Their fits have no SQL.
+
+
+def lr_sequence_trials(spark, sf_dir):
+    path, _ = _export(spark, sf_dir)
+    return crossval.search_first_fold(spark, path, FOLDS, TIMEPOINTS, N_FEATURES, training.MAX_TRIALS)
+
+
+def lr_sequence_search_best(spark, sf_dir):
+    return history.best_trial(lr_sequence_trials(spark, sf_dir))
+
+
+def lr_sequence_fold_metrics(spark, sf_dir):
+    (path, _), models = _export(spark, sf_dir), scratch.new_path(spark, "models")
+    rows, _ = crossval.cross_validate(spark, path, FOLDS, TIMEPOINTS, N_FEATURES, training.MAX_TRIALS, model_path=models)
+    return _through_metric_files(spark, rows)
+
+
+def lr_sequence_test_scores(spark, sf_dir):
+    (path, _), models = _export(spark, sf_dir), scratch.new_path(spark, "models")
+    crossval.score_folds(spark, path, FOLDS, training.l2_candidates(1)[0], TIMEPOINTS, N_FEATURES, model_path=models)
+    return crossval.score_saved(spark, path, FOLDS, models, TIMEPOINTS, N_FEATURES)
+
+
 _QUERIES = (
     scan_projection, scan_range, scan_isin, repeated_ids, parse_references, convert_schema, written_papers, written_labelled_papers, date_conversions,
     explode_references, available_references, reference_dates, rank_references, reference_features,
@@ -454,6 +478,7 @@ _QUERIES = (
     rolling_gap, trial_log, unpromising_trials, unpromising_trials_min, early_stop_epoch, early_stop_epoch_min,
     best_trial, lr_trials, lr_search_best, lr_fold_metrics, lr_test_scores,
 )
+_SEQUENCE_FITS = (lr_sequence_trials, lr_sequence_search_best, lr_sequence_fold_metrics, lr_sequence_test_scores)
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -462,7 +487,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = {q.__name__: q for q in _QUERIES}
+    named = {q.__name__: q for q in _QUERIES + _SEQUENCE_FITS}
     if llm:
         named |= llm.QUERIES | {"pipeline": corpus_pipeline.run}
     return named
