@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeframe.llm import chat, decontamination, html_text, licenses, neighbours, quality, sharding, simhash, suffixes, tokens
+from citeframe.llm import chat, decontamination, html_text, licenses, neighbours, quality, sharding, simhash, suffixes, tokens, vector_codes
 from citeframe.plans.views import table
 from citeframe.sources import scratch
 
@@ -109,12 +109,60 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), "component_id")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = vector_codes.compress(spark, table(spark, sf_dir, "embeddings"), carry=("label",))
+    path = scratch.new_path(spark, "vector-codes")
+    done.coded.write.parquet(path)
+    coded = spark.read.parquet(path)
+    by_label = coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    return coded.join(by_label, F.col("label").eqNullSafe(F.col("of")), "left").select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(done.digest()).alias("codebooks_sha256")
+    )
+
+
 _FAMILY = chat.LLAMA_STYLE.family.replace("'", "''")
 _FRAME = len(chat.LLAMA_STYLE.open_turn + chat.LLAMA_STYLE.close_role + chat.GAP + chat.LLAMA_STYLE.end_turn)
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _vector_code_sql(rounds: int = 2, parts: int = 16, entries: int = 64) -> str:
+    """Each round as three steps: nearest entries, their sums, the next codebooks."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+        f{i} AS (
+          SELECT vec_id, label, p, e, sum((u.x - b{i}.x) * (u.x - b{i}.x)) AS far
+          FROM u JOIN b{i} USING (p, j) GROUP BY vec_id, label, p, e),
+        n{i} AS (SELECT vec_id, label, p, min(far) AS far, min(e) FILTER (far = least) AS e
+          FROM (SELECT *, min(far) OVER (PARTITION BY vec_id, p) AS least FROM f{i}) GROUP BY vec_id, label, p)""")
+        if i < rounds:
+            steps.append(f"""
+        b{i + 1} AS (
+          SELECT p, e, j, coalesce(s.x, b{i}.x) AS x FROM b{i} LEFT JOIN (
+            SELECT p, e, j, floor(sum(u.x)::DOUBLE / count(*))::BIGINT AS x
+            FROM n{i} JOIN u USING (vec_id, p) GROUP BY p, e, j) s USING (p, e, j))""")
+    return f"""
+        WITH k AS (
+          SELECT vec_id, label, embedding AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))),
+        u AS (
+          SELECT vec_id, label, i * {parts} // len(v) AS p, i % (len(v) // {parts}) AS j,
+            floor(256 * v[i + 1]::DOUBLE)::BIGINT AS x
+          FROM (SELECT *, unnest(range(len(v))) AS i FROM k)),
+        b0 AS (
+          SELECT p, e, j, x FROM u JOIN (
+            SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k) USING (vec_id) WHERE e < {entries}),{",".join(steps)},
+        h AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM b{rounds}),
+        c AS (
+          SELECT vec_id, label, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, sum(far)::BIGINT AS error
+          FROM n{rounds} GROUP BY vec_id, label)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c, h"""
+
+
 ORACLE_SQL = {
+    "op13_vector_codes": _vector_code_sql(),
     "op5_benchmark_decontamination": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
         i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
@@ -156,5 +204,6 @@ ORACLE_SQL = {
 _ALL = (
     op1_sharding, op2_sentencepiece, op3_suffix_array_dedup, op4_chat_formatting, op5_benchmark_decontamination,
     op5_proximity_matches, op6_license_scan, op7_quality_classifier, op8_nearest_neighbours, op9_html_extraction, op10_simhash_near_dedup,
+    op13_vector_codes,
 )
 QUERIES = {q.__name__: q for q in _ALL}
