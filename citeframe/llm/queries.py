@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeframe.llm import chat, decontamination, html_text, licenses, neighbours, quality, sharding, simhash, suffixes, tokens, vector_codes
+from citeframe.llm import chat, decontamination, html_text, licenses, neighbours, quality, sharding, simhash, suffixes, tokens, turn_repair, vector_codes
 from citeframe.plans.views import table
 from citeframe.sources import scratch
 
@@ -109,6 +109,32 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), "component_id")
 
 
+def _damaged(turns: DataFrame) -> DataFrame:
+    """Rows with the faults that their conversation and turn numbers choose."""
+    named = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    fault = F.crc32(F.concat_ws(":", *named).cast("binary")) % 20
+    role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    return turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), fault.alias("fault")).filter("fault != 0").select(
+        "conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.array_repeat(F.lit(1), F.when(F.col("fault") == 3, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    done = turn_repair.repair(spark, _damaged(turns))
+    found = done.conversations.withColumnRenamed("conv_id", "of")
+    hashed = turn_repair.digests(done).select(F.col("conv_id").alias("also"), "repaired_sha256")
+    every = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    every = every.join(hashed, F.col("conv_id").eqNullSafe(F.col("also")), "left")
+    numbers = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit(""), 256)
+    return every.select(
+        "conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256")
+    )
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = vector_codes.compress(spark, table(spark, sf_dir, "embeddings"), carry=("label",))
     path = scratch.new_path(spark, "vector-codes")
@@ -161,7 +187,84 @@ def _vector_code_sql(rounds: int = 2, parts: int = 16, entries: int = 64) -> str
         SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c, h"""
 
 
+def _edit(cell: str, cost: str, letter: str, turn: str) -> str:
+    return f"CASE WHEN {cell} IS NULL THEN NULL ELSE {{'c': {cell}.c + {cost}, 'a': {cell}.a || '{letter}', 'r': {cell}.r || {turn}}} END"
+
+
+def _turn_repair_sql() -> str:
+    """Row by row: the least (cost, audit) that reaches each state, with the repaired turns beside it."""
+    user, assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    kept = "chr(10) || role || ':' || text"
+
+    def changed(cells: tuple[str, ...], initial: str, turn: str) -> list[str]:
+        out = []
+        for cell in cells:
+            out.append(f"CASE WHEN NOT gone AND x = '{initial}' THEN {_edit(cell, 'cut', 'K', kept)} END")
+            out.append(f"CASE WHEN NOT gone AND x != 's' THEN {_edit(cell, '2 + cut', 'R', turn + ' || text')} END")
+            out.append(f"CASE WHEN NOT gone AND x = 's' THEN {_edit(cell, '2 + cut', 'R', turn + ' || text')} END")
+        return out
+
+    def least(*cells: str) -> str:
+        return f"list_min([{', '.join(cells)}])"
+
+    t0 = _edit("v0", "3", "D", "''")
+    t1 = least(_edit("v1", "3", "D", "''"), f"CASE WHEN NOT gone AND x = 's' THEN {_edit('v0', 'cut', 'K', kept)} END")
+    t2 = least(_edit("v2", "3", "D", "''"), *changed(("v0", "v1", "v3"), "u", user))
+    t3 = least(_edit("v3", "3", "D", "''"), *changed(("v2",), "a", assistant))
+    to2 = least("t2", *[_edit(c, "2", "I", user) for c in ("t0", "t1", "t3")])
+    spaces, none = r"[^\x20\x09-\x0D]", "sha256('')"
+    return rf"""
+        WITH RECURSIVE t AS (
+          SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, ' ') AS k FROM conversations),
+        o AS (
+          SELECT coalesce(conv_id::VARCHAR, ' ') AS k, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+        q AS (SELECT DISTINCT name, encode(name) AS b, octet_length(encode(name)) AS n FROM o),
+        crc AS (
+          SELECT name, b, n, 0 AS i, 4294967295::BIGINT AS h FROM q
+          UNION ALL
+          SELECT name, b, n, i + 1, {_crc_step("xor(h, ascii(substr(name, i + 1, 1))::BIGINT)")} FROM crc WHERE i < n),
+        f AS (SELECT name, xor(h, 4294967295::BIGINT) % 20 AS fault FROM crc WHERE i = n),
+        d AS (
+          SELECT k, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+            CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+            unnest(range(CASE fault WHEN 3 THEN 2 ELSE 1 END)) AS copy
+          FROM o JOIN f USING (name) WHERE fault != 0),
+        n AS (
+          SELECT *, row_number() OVER w AS i, left(role, 1) AS x, lag(left(role, 1)) OVER w AS y, count(*) OVER (PARTITION BY k) AS n,
+            row_number() OVER (PARTITION BY k, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
+            NOT regexp_matches(text, '{spaces}') AS blank,
+            regexp_extract(text, '({spaces})[ 	-]*$', 1) NOT IN ('.', '!', '?') AS open
+          FROM d WINDOW w AS (PARTITION BY k ORDER BY turn NULLS FIRST, role, text)),
+        e AS (SELECT *, blank OR again AS gone, (open AND NOT blank)::BIGINT AS cut FROM n),
+        s AS (
+          SELECT k, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (blank) AS blank,
+            count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (open AND NOT again AND NOT blank) AS truncated,
+            count(*) FILTER (i > 1 AND y || x NOT IN ('su', 'ua', 'au')) AS illegal
+          FROM e GROUP BY k),
+        p AS (
+          SELECT k, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS v0, NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR) AS v1,
+            {{'c': 2::BIGINT, 'a': 'I', 'r': {user}}} AS v2, {{'c': 4::BIGINT, 'a': 'II', 'r': {user} || {assistant}}} AS v3 FROM s
+          UNION ALL
+          SELECT k, i, t0, t1, u2, {least("t3", _edit("u2", "2", "I", assistant))} FROM (
+            SELECT *, {to2} AS u2 FROM (
+              SELECT p.k, e.i, {t0} AS t0, {t1} AS t1, {t2} AS t2, {t3} AS t3 FROM p JOIN e ON p.k = e.k AND e.i = p.i + 1))),
+        g AS (SELECT p.k, {least("v0", "v3")} AS v FROM p JOIN (SELECT k, max(i) AS i FROM e GROUP BY k) USING (k, i))
+        SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+          coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(v.c, 0) AS cost, coalesce(v.a, '') AS audit,
+          coalesce(sha256(substr(v.r, 2)), {none}) AS repaired_sha256
+        FROM t LEFT JOIN s USING (k) LEFT JOIN g USING (k)"""
+
+
+def _crc_step(value: str) -> str:
+    """Eight shifts of the reversed CRC-32 polynomial."""
+    for _ in range(8):
+        value = f"(SELECT xor(z >> 1, (z & 1) * 3988292384) FROM (SELECT {value} AS z))"
+    return value
+
+
 ORACLE_SQL = {
+    "op12_turn_repair": _turn_repair_sql(),
     "op13_vector_codes": _vector_code_sql(),
     "op5_benchmark_decontamination": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
@@ -204,6 +307,6 @@ ORACLE_SQL = {
 _ALL = (
     op1_sharding, op2_sentencepiece, op3_suffix_array_dedup, op4_chat_formatting, op5_benchmark_decontamination,
     op5_proximity_matches, op6_license_scan, op7_quality_classifier, op8_nearest_neighbours, op9_html_extraction, op10_simhash_near_dedup,
-    op13_vector_codes,
+    op12_turn_repair, op13_vector_codes,
 )
 QUERIES = {q.__name__: q for q in _ALL}
