@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeframe.llm import chat, decontamination, html_text, licenses, neighbours, quality, sharding, simhash, suffixes, tokens, turn_repair, vector_codes
+from citeframe.llm import chat, decontamination, disclosure, html_text, licenses, neighbours, quality, sharding, simhash, suffixes, tokens, turn_repair, vector_codes
 from citeframe.plans.views import table
 from citeframe.sources import scratch
 
@@ -109,6 +109,23 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), "component_id")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = disclosure.find_spans(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = disclosure.KINDS + disclosure.ADDED
+    rank = F.create_map(*[F.lit(x) for pair in zip(kinds, range(len(kinds)), strict=True) for x in pair])
+
+    def listed(spans):
+        placed = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], rank[s["kind"]], s["end"], s["kind"])))
+        said = F.transform(placed, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(said, ",")
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in disclosure.KINDS]
+    return docs.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"))
+
+
 def _damaged(turns: DataFrame) -> DataFrame:
     """Rows with the faults that their conversation and turn numbers choose."""
     named = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
@@ -234,7 +251,8 @@ def _turn_repair_sql() -> str:
           SELECT *, row_number() OVER w AS i, left(role, 1) AS x, lag(left(role, 1)) OVER w AS y, count(*) OVER (PARTITION BY k) AS n,
             row_number() OVER (PARTITION BY k, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
             NOT regexp_matches(text, '{spaces}') AS blank,
-            regexp_extract(text, '({spaces})[ 	-]*$', 1) NOT IN ('.', '!', '?') AS open
+            regexp_extract(text, '({spaces})[ 	-
+]*$', 1) NOT IN ('.', '!', '?') AS open
           FROM d WINDOW w AS (PARTITION BY k ORDER BY turn NULLS FIRST, role, text)),
         e AS (SELECT *, blank OR again AS gone, (open AND NOT blank)::BIGINT AS cut FROM n),
         s AS (
@@ -307,6 +325,6 @@ ORACLE_SQL = {
 _ALL = (
     op1_sharding, op2_sentencepiece, op3_suffix_array_dedup, op4_chat_formatting, op5_benchmark_decontamination,
     op5_proximity_matches, op6_license_scan, op7_quality_classifier, op8_nearest_neighbours, op9_html_extraction, op10_simhash_near_dedup,
-    op12_turn_repair, op13_vector_codes,
+    op11_personal_data, op12_turn_repair, op13_vector_codes,
 )
 QUERIES = {q.__name__: q for q in _ALL}
