@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -59,15 +60,18 @@ def _least(a: tuple[int, str] | None, b: tuple[int, str] | None) -> tuple[int, s
 
 def combine(left: Cell, right: Cell) -> Cell:
     out = _empty()
-    for p in range(STATES):
-        for r in range(STATES):
-            a = left[p][r]
+    for p, reached in enumerate(left):
+        row = out[p]
+        for a, onward in zip(reached, right, strict=True):
             if a is None:
                 continue
-            for q in range(STATES):
-                b = right[r][q]
-                if b is not None:
-                    out[p][q] = _least(out[p][q], (a[0] + b[0], a[1] + b[1]))
+            cost, audit = a
+            for q, b in enumerate(onward):
+                if b is None:
+                    continue
+                here, total = row[q], cost + b[0]
+                if here is None or total < here[0] or (total == here[0] and audit + b[1] < here[1]):
+                    row[q] = (total, audit + b[1])
     return out
 
 
@@ -82,8 +86,9 @@ def _closure() -> Cell:
 CLOSURE = _closure()
 
 
+@lru_cache(maxsize=4096)
 def row_cell(initial: str, must_go: bool, cut_off: bool) -> Cell:
-    """Edits of one row, with insertions around it."""
+    """Edits of one row, with insertions around it. Cells are shared and never changed."""
     out, extra = _empty(), CUT_OFF * cut_off
     for p in range(STATES):
         out[p][p] = (DELETE, "D")
