@@ -20,6 +20,7 @@ extra columns are ignored. A role whose initial is none of s, u, a cannot be kep
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -205,20 +206,41 @@ def _arrow(kind: pa.DataType) -> pa.Schema:
     ])
 
 
+def _gathered(records: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of some hundred records, or fewer with long texts."""
+    held, chars = [], 0
+    for record in records:
+        held.append(record)
+        chars += sum(len(row["text"]) for row in record.get("rows", ()))
+        if len(held) >= 256 or chars >= CHUNK_CHARS:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, chars = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def _read(batches: Iterator[pa.RecordBatch], first: pa.RecordBatch, columns: tuple[str, ...]) -> Iterator[tuple]:
+    for batch in itertools.chain([first], batches):
+        yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+
+
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of rows that come sorted."""
-    held: _Chunk | None = None
-    nth, part, schema = 0, TaskContext.get().partitionId(), None
-    for batch in batches:
-        schema = schema or _arrow(batch.schema.field("conv_id").type)
-        for conv, *row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text", "n", "first")), strict=True):
+
+    def records(rows: Iterator[tuple]) -> Iterator[dict]:
+        held, nth, part = None, 0, TaskContext.get().partitionId()
+        for conv, *row in rows:
             if held is not None and (held.full() or conv != held.conv):
-                yield pa.RecordBatch.from_pylist([held.record(nth, part)], schema)
+                yield held.record(nth, part)
                 held, nth = None, nth + 1
             held = held or _Chunk(conv)
             held.add(*row)
-    if held is not None:
-        yield pa.RecordBatch.from_pylist([held.record(nth, part)], schema)
+        if held is not None:
+            yield held.record(nth, part)
+
+    for first in batches:
+        rows = _read(batches, first, ("conv_id", "turn", "role", "text", "n", "first"))
+        yield from _gathered(records(rows), _arrow(first.schema.field("conv_id").type))
 
 
 def _solved(chunks: pd.DataFrame) -> dict:
@@ -326,20 +348,23 @@ def digests(repaired: Repaired) -> DataFrame:
     line = F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
     pieces = repaired.turns.select("conv_id", "part", "chunk", F.size("turns").alias("n"), F.array_join(line, "\n").alias("piece"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(rows: Iterator[tuple]) -> Iterator[dict]:
         held, digest, said = None, None, False
-        for batch in batches:
-            kind = batch.schema.field("conv_id").type
-            for conv, n, piece in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "n", "piece")), strict=True):
-                if digest is None or conv != held:
-                    if digest is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([held], kind), pa.array([digest.hexdigest()])], ["conv_id", "repaired_sha256"])
-                    held, digest, said = conv, hashlib.sha256(), False
-                if n:
-                    digest.update((("\n" if said else "") + piece).encode())
-                    said = True
+        for conv, n, piece in rows:
+            if digest is None or conv != held:
+                if digest is not None:
+                    yield {"conv_id": held, "repaired_sha256": digest.hexdigest()}
+                held, digest, said = conv, hashlib.sha256(), False
+            if n:
+                digest.update((("\n" if said else "") + piece).encode())
+                said = True
         if digest is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([held], kind), pa.array([digest.hexdigest()])], ["conv_id", "repaired_sha256"])
+            yield {"conv_id": held, "repaired_sha256": digest.hexdigest()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first in batches:
+            schema = pa.schema([first.schema.field("conv_id"), ("repaired_sha256", pa.string())])
+            yield from _gathered(hashed(_read(batches, first, ("conv_id", "n", "piece"))), schema)
 
     kind = dict(pieces.dtypes)["conv_id"]
     ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "part", "chunk")
