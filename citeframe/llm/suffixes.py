@@ -41,9 +41,10 @@ SAMPLE_ANCHORS = 100_000
 BUCKETS = 16
 #: Most open spans with one anchor that are sorted together.
 CROWD = 20_000
-#: Windows that are anchored, or sorted, at a time.
+#: Windows that are anchored at a time; windows and bytes of spans above which no further anchor joins a sort.
 PIECE = 1 << 16
-SORTED = 1 << 20
+SORTED = 1 << 18
+SORTED_BYTES = 1 << 21
 
 _BASE = 0x9E3779B97F4A7C15
 _POSITION = 17  # bits; positions in a piece and its tail are below 2^17
@@ -296,14 +297,12 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 def tied_windows(data: np.ndarray, start: np.ndarray, group: np.ndarray, forward: np.ndarray) -> np.ndarray:
     """Numbers of the windows that another window of their group equals, by multikey quicksort: sorted by one word of
     eight bytes, from the front or from the back; what is alone with its words so far drops out."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    words = np.zeros(len(data), np.uint64)
-    for i in range(8):
-        words |= padded[i : i + len(data)] << np.uint64(56 - 8 * i)
+    # WINDOW is a multiple of eight, so a word never reaches past its window.
+    eights = np.lib.stride_tricks.sliding_window_view(data, 8) if len(start) else data
     left = np.arange(len(start))
     tie = group
     for level in range(0, WINDOW, 8):
-        word = words[start[left] + np.where(forward[left], level, WINDOW - 8 - level)]
+        word = eights[start[left] + np.where(forward[left], level, WINDOW - 8 - level)].view(">u8")[:, 0].astype(np.uint64)
         order = np.lexsort((word, tie))
         left, word, tie = left[order], word[order], tie[order]
         new = np.concatenate([[True], (np.diff(tie) != 0) | (word[1:] != word[:-1])])
@@ -318,15 +317,16 @@ def tied_windows(data: np.ndarray, start: np.ndarray, group: np.ndarray, forward
 def _sort_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated windows of single spans, run by run; whole anchors are gathered until there are enough windows."""
     gathered: list[pa.Table] = []
-    total = 0
+    windows = size = 0
     for _, table in runs(batches, "gram"):
         if table.num_rows < 2:
             continue
         gathered.append(table)
-        total += int(table["n"].to_numpy().sum())
-        if total >= SORTED:
+        windows += int(table["n"].to_numpy().sum())
+        size += int(table["n"].to_numpy().sum()) + (WINDOW - 1) * table.num_rows
+        if windows >= SORTED or size >= SORTED_BYTES:
             yield _sorted_runs(gathered)
-            gathered, total = [], 0
+            gathered, windows, size = [], 0, 0
     if gathered:
         yield _sorted_runs(gathered)
 

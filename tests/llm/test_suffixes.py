@@ -1,8 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +98,29 @@ def test_query_equals_counting_every_window(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     want = sorted((r.doc_id, *x) for r, x in zip(docs, plain([r.text for r in docs]), strict=True))
     assert sorted(map(tuple, queries.op3_suffix_array_dedup(spark, sf).collect())) == want
+
+
+def test_a_sort_of_short_spans_takes_little_memory():
+    """400,000 open spans of one window each, two to an anchor."""
+    rng = np.random.default_rng(1)
+    n = 400_000
+
+    def batches():
+        for start in range(0, n, 10_000):
+            rows = [rng.bytes(suffixes.WINDOW) for _ in range(10_000)]
+            rows[1] = rows[0]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.arange(start, start + 10_000) // 2), pa.array([True] * 10_000), pa.array([b"k"] * 10_000, pa.binary()),
+                    pa.array(np.arange(start, start + 10_000)), pa.array(np.zeros(10_000, np.int32)),
+                    pa.array(np.ones(10_000, np.int32)), pa.array(rows, pa.binary()),
+                ],
+                ["gram", "single", "key", "a", "off", "n", "span"],
+            )
+
+    tracemalloc.start()
+    found = [x for b in suffixes._sort_open(batches()) for x in b.column("a").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == sorted([*range(0, n, 10_000), *range(1, n, 10_000)])
+    assert peak < 100_000_000
