@@ -54,7 +54,7 @@ def _export(
     or on top of an earlier export."""
     examples = sharded_examples(
         views.labelled_papers(spark, sf_dir), views.vectors(spark, sf_dir), start, end, 1, ROWS_PER_SHARD,
-        TIMEPOINTS, N_FEATURES, Y_COLS,
+        TIMEPOINTS, N_FEATURES, Y_COLS, filter_vectors=(start, end) != (START_YEAR, END_YEAR),
     )
     out = paths or (scratch.new_path(spark, "examples"), scratch.new_path(spark, "manifest"))
     export(examples, *out, ROWS_PER_SHARD, overwrite=paths is None, years=(start, end))

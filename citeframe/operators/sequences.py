@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citeframe.functions.vectors import assemble, clean_vector, pad_vector, target_vector
 from citeframe.operators.citations import rank_references, reference_dates
+from citeframe.operators.keyfilter import key_blocks, may_hold
 from citeframe.operators.skew import hot_keys, lookup_join, splits_skew
 from citeframe.sources.datasets import scan_in, scan_range
 
@@ -34,6 +35,7 @@ def build_examples(
     fill_labels: float | None = None,
     hot: Mapping[int, int] | None = None,
     broadcast_keys: int = MAX_BROADCAST_KEYS,
+    filter_vectors: bool | None = None,
 ) -> DataFrame:
     """One row ``(group_keys, id, date, features, target)`` per focal paper.
 
@@ -45,8 +47,10 @@ def build_examples(
     descending sort of at most ``timepoints + 1`` steps gives the final layout.
     With ``group_keys`` (a shard, say) the only shuffle of vector rows is by those keys, which is also
     the layout a partitioned write wants.
-    When the steps of a date range number at most ``broadcast_keys``, their ids are broadcast and filter the
-    vector scan, so a small range does not shuffle the whole table. The count is checked first.
+    For a part of the papers the vector scan is filtered before its shuffle: when the steps of a
+    date range number at most ``broadcast_keys``, which is counted first, by their ids; otherwise by a filter of fixed size
+    (``operators/keyfilter``) built from the steps that are left after dates and ranks. ``filter_vectors`` turns it on for
+    ``focal`` papers that are a part of the table, or off.
     ``hot`` names much-cited papers to spread (see ``operators/skew``); by default the session decides.
     """
     keys = list(group_keys)
@@ -73,8 +77,12 @@ def build_examples(
     ranked = rank_references(dated, timepoints + 1, first=[F.col("_is_ref")])
     ranked = ranked.withColumn("own_date", F.when(~F.col("_is_ref"), F.col("ref_date"))).drop("_is_ref", "ref_date")
 
-    needed = vectors
-    if (low is not None or high is not None) and steps.count() <= broadcast_keys:
+    needed, in_range = vectors, low is not None or high is not None
+    if filter_vectors is None:
+        filter_vectors = in_range
+    if filter_vectors and not (in_range and steps.count() <= broadcast_keys):
+        needed = may_hold(vectors, id_col, key_blocks(ranked, "ref_id"))
+    elif filter_vectors:
         needed = scan_in(vectors, vectors.columns, F.broadcast(steps.select("ref_id")), id_col)
     lookup = needed.select(
         F.col(id_col).alias("ref_id"), clean_vector(F.col(vector_col), n_features, pad).alias("embedding")

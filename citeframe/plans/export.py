@@ -25,16 +25,20 @@ def sharded_examples(
     y_cols: Sequence[str] = (),
     pad: float = 0.0,
     max_rows: int = MAX_ROWS_PER_TASK,
+    filter_vectors: bool = True,
     **options,
 ) -> DataFrame:
     """Examples of all slices with their shard, laid out by shard.
 
     Shards are numbered on thin paper rows. The vector rows are then shuffled once, by shard, which
     both the assembly and the partitioned write use. Slices above ``max_rows`` papers are numbered in chunks.
+    The vector scan is filtered by the steps of these years before that shuffle (see ``build_examples``); an export of
+    the whole table needs no ``filter_vectors``.
     """
     sharded = assign_shards(time_slices(papers, start_year, end_year, delta), rows_per_shard, max_rows=max_rows)
     return build_examples(
-        papers, vectors, timepoints, n_features, y_cols, pad, focal=sharded, group_keys=SHARD_KEYS, **options
+        papers, vectors, timepoints, n_features, y_cols, pad, focal=sharded, group_keys=SHARD_KEYS,
+        filter_vectors=filter_vectors, **options,
     )
 
 
