@@ -36,7 +36,7 @@ def batch_ids(
     position = F.col(id_col) if seed is None else shuffle_key(id_col, seed)
     keyed = examples.withColumn("_order", position)
     order = [F.col("_order"), F.col(id_col)]
-    rows = numbered(keyed, keys, order, F.col("_order"), "_row", n_chunks, max_rows, totals=drop_remainder)
+    rows = numbered(keyed, keys, order, "_row", n_chunks, max_rows, totals=drop_remainder)
     out = rows.withColumn("batch_id", F.call_function("div", F.col("_row") - 1, F.lit(batch_size)))
     if drop_remainder:
         out = out.where(F.col("batch_id") < F.call_function("div", F.col("_row_total"), F.lit(batch_size)))

@@ -1,34 +1,30 @@
 """Running aggregates, row numbers and short look-back windows that survive hot groups.
 
-A window sends each group to one task. Where the largest group is above ``max_rows`` the operators
-here cut the hot groups into consecutive chunks of an order position, work chunk by chunk, and
-carry the totals of the earlier chunks over, so no task sees more than a chunk. The other groups stay
-in a plain window. The results are the same either way. Finding the hot groups is a job that runs when
-the plan is built; with ``n_chunks`` given none runs, and every group is cut.
-
-``position`` must be a column that grows with the sort order: a number, such as an id, a microsecond time
-or a hash key, or a string. Null positions come first and NaN last, as in an ascending sort; a descending
-order must have neither. Where many rows of a group may share one position, ``tie`` is the column that
-orders them; positions must then be exact as doubles (below 2**53).
+A window sends each group to one task. Where the largest group is above ``max_rows`` the operators here
+lay the hot groups out by range of their sort order, total every range, and carry the totals of the earlier ranges of a group
+into it, so no task sees more than a range. The other groups stay in a plain window. The results are the same
+either way, for every type that sorts: numbers, strings, dates, times, with nulls and NaN where the sort puts them.
+
+The ranges come from the exchange of Spark itself; only their number is given to it. The laid-out rows are written to the
+shared folder, because the totals and the rows must come from the same ranges. Finding the hot groups and
+writing them are jobs that run when the plan is built; with ``n_chunks`` given every group is cut. Rows that
+are equal in all order columns stay together, so an order should end in a column that tells rows apart.
 """
 
 from __future__ import annotations
 
-import math
-import os
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+
+from citeframe.sources import scratch
 
 MAX_ROWS_PER_TASK = 2_000_000
 
 _CHUNK = "_chunk"
 _REAL = "_real"
 _FUNCS = {"sum": F.sum, "max": F.max}
-_TEXT_BYTES = 6  # what a double holds exactly
 
 
 def chunks_needed(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_ROWS_PER_TASK) -> int:
@@ -43,33 +39,6 @@ def chunks_needed(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_ROWS_P
     return max(2, -(-row["total"] // max_rows))
 
 
-def _bucket(df: DataFrame, column: str, cuts: Sequence[float], name: str) -> DataFrame:
-    """Adds the number of the interval between sorted cuts that a value falls in."""
-    cuts = sorted(set(cuts))
-    if not cuts:
-        return df.withColumn(name, F.lit(0.0))
-    splits = [float("-inf"), *cuts, float("inf")]
-    placed = Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep").transform(df)
-    return placed.withColumn(name, F.when(F.col(column).isNull(), F.lit(-1.0)).otherwise(F.col(name)))
-
-
-def _as_double(df: DataFrame, position: Column) -> Column:
-    """A double that never falls while the position grows. Strings give the bytes behind the prefix that all of them share."""
-    kind = df.select(position.alias("p")).schema["p"].dataType
-    if isinstance(kind, NumericType):
-        return position.cast("double")
-    if not isinstance(kind, StringType):
-        raise TypeError(f"a position must be a number or a string, not {kind.simpleString()}")
-    ends = [e.encode() for e in df.agg(F.min(position), F.max(position)).first() if e is not None]
-    shared = len(os.path.commonprefix(ends)) if ends else 0
-    next_bytes = F.hex(F.substring(position.cast("binary"), shared + 1, _TEXT_BYTES))
-    return F.conv(F.rpad(next_bytes, 2 * _TEXT_BYTES, "0"), 16, 10).cast("double")
-
-
-def _quantiles(df: DataFrame, column: str, n_chunks: int) -> list[float]:
-    return df.approxQuantile(column, [i / n_chunks for i in range(1, n_chunks)], 1 / (4 * n_chunks))
-
-
 def _split_hot(df: DataFrame, keys: Sequence[str], max_rows: int) -> tuple[DataFrame, DataFrame]:
     """Rows of groups that fit one task, and those of the larger ones, of which there are few."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_rows)
@@ -81,36 +50,23 @@ def _split_hot(df: DataFrame, keys: Sequence[str], max_rows: int) -> tuple[DataF
     return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
 
 
-def cut_into_chunks(df: DataFrame, position: Column, n_chunks: int, tie: Column | None = None) -> DataFrame:
-    """Adds ``_chunk``, which grows with the sort order and holds about ``rows / n_chunks`` rows each.
-
-    A position that fills a chunk or more gets chunks of its own, cut by ``tie``.
-    """
-    placed = df.withColumn("_position", _as_double(df, position))
-    cuts = _quantiles(placed, "_position", n_chunks)
-    crowded = sorted({a for a, b in zip(cuts, cuts[1:], strict=False) if a == b}) if tie is not None else []
-    cuts += [math.nextafter(v, math.inf) for v in crowded]
-    out = _bucket(placed, "_position", cuts, _CHUNK)
-    if crowded:
-        is_crowded = F.coalesce(F.col("_position").isin(crowded), F.lit(False))
-        tied = out.withColumn("_tie", F.when(is_crowded, _as_double(df, tie)).otherwise(F.lit(float("-inf"))))
-        tie_cuts = _quantiles(tied.where(is_crowded), "_tie", n_chunks)
-        part = _bucket(tied, "_tie", tie_cuts, "_part")
-        out = part.withColumn(_CHUNK, F.col(_CHUNK) * F.lit(n_chunks + 1) + F.col("_part")).drop("_tie", "_part")
-    return out.drop("_position")
+def cut_into_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n_chunks: int) -> DataFrame:
+    """The rows with ``_chunk``, which grows with the keys and the sort order inside them, read back from the shared folder."""
+    dealt = df.repartitionByRange(n_chunks, *[F.col(k) for k in keys], *order).withColumn(_CHUNK, F.spark_partition_id())
+    path = scratch.new_path(df.sparkSession, "ranges")
+    dealt.write.parquet(path)
+    return df.sparkSession.read.schema(dealt.schema).parquet(path)
 
 
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    position: Column,
     measures: Mapping[str, tuple[str, Column]],
     before: bool = False,
     n_chunks: int | None = None,
     max_rows: int = MAX_ROWS_PER_TASK,
     totals: bool = False,
-    tie: Column | None = None,
 ) -> DataFrame:
     """Adds a running ``sum`` or ``max`` per measure (``name -> (function, expression)``).
 
@@ -123,9 +79,9 @@ def running(
         n_chunks = chunks_needed(df, keys, max_rows)
         if n_chunks > 1 and keys:
             rest, hot = _split_hot(df, keys, max_rows)
-            how = keys, order, position, measures, before
+            how = keys, order, measures, before
             n_hot = chunks_needed(hot, keys, max_rows)
-            return running(rest, *how, 1, max_rows, totals).unionByName(running(hot, *how, n_hot, max_rows, totals, tie))
+            return running(rest, *how, 1, max_rows, totals).unionByName(running(hot, *how, n_hot, max_rows, totals))
     last = -1 if before else Window.currentRow
     if n_chunks == 1:
         group = Window.partitionBy(*keys)
@@ -135,11 +91,11 @@ def running(
             added |= {f"{name}_total": _FUNCS[f](e).over(group) for name, (f, e) in measures.items()}
         return df.withColumns(added)
 
-    cut = cut_into_chunks(df, position, n_chunks, tie)
+    cut = cut_into_chunks(df, keys, order, n_chunks)
     rows = cut.withColumns({_REAL: F.lit(1), **{f"_v_{name}": e for name, (_, e) in measures.items()}})
 
     # One row per (group, chunk), combined before the shuffle; a group has at most n_chunks of them.
-    # It opens its chunk with the totals of the chunks before it, so no join is needed.
+    # It opens its chunk with the totals of the group's earlier chunks, so no join is needed.
     parts = cut.groupBy(*keys, _CHUNK).agg(*[_FUNCS[f](e).alias(name) for name, (f, e) in measures.items()])
     group = Window.partitionBy(*keys)
     earlier = group.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -161,31 +117,27 @@ def numbered(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    position: Column,
     name: str = "row_num",
     n_chunks: int | None = None,
     max_rows: int = MAX_ROWS_PER_TASK,
     totals: bool = False,
-    tie: Column | None = None,
 ) -> DataFrame:
     """Adds 1-based row numbers per group, without sending a hot group to one task.
 
     ``totals`` also adds ``{name}_total``, the number of rows of the group.
     """
     one = {name: ("sum", F.lit(1).cast("bigint"))}
-    return running(df, keys, order, position, one, False, n_chunks, max_rows, totals, tie)
+    return running(df, keys, order, one, False, n_chunks, max_rows, totals)
 
 
 def look_back(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    position: Column,
     reach: int,
     add: Callable[[DataFrame, WindowSpec], DataFrame],
     n_chunks: int | None = None,
     max_rows: int = MAX_ROWS_PER_TASK,
-    tie: Column | None = None,
 ) -> DataFrame:
     """Adds window columns that look at most ``reach`` rows back inside their group.
 
@@ -199,13 +151,13 @@ def look_back(
         if n_chunks > 1 and keys:
             rest, hot = _split_hot(df, keys, max_rows)
             n_hot = chunks_needed(hot, keys, max_rows)
-            cut = look_back(hot, keys, order, position, reach, add, n_hot, max_rows, tie)
-            return look_back(rest, keys, order, position, reach, add, 1, max_rows, tie).unionByName(cut)
+            cut = look_back(hot, keys, order, reach, add, n_hot, max_rows)
+            return look_back(rest, keys, order, reach, add, 1, max_rows).unionByName(cut)
     if n_chunks == 1:
         return add(df, Window.partitionBy(*keys).orderBy(*order))
 
     size = max(max_rows, reach)
-    rows = numbered(df, keys, order, position, "_row", n_chunks, tie=tie)
+    rows = numbered(df, keys, order, "_row", n_chunks)
     own = F.call_function("div", F.col("_row") - 1, F.lit(size))
     shared = F.pmod(F.col("_row") - 1, F.lit(size)) >= size - reach
     spread = rows.withColumn("_own", own).withColumn(

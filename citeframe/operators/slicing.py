@@ -37,7 +37,7 @@ def assign_shards(
     n_chunks: int | None = None,
 ) -> DataFrame:
     """Adds ``shard``: consecutive blocks of ``rows_per_shard`` papers of a slice in id order."""
-    rows = numbered(sliced, ["slice_start"], [F.col(id_col)], F.col(id_col), "_row", n_chunks, max_rows)
+    rows = numbered(sliced, ["slice_start"], [F.col(id_col)], "_row", n_chunks, max_rows)
     shard = F.call_function("div", F.col("_row") - 1, F.lit(rows_per_shard)).cast("int")
     return rows.withColumn("shard", shard).drop("_row")
 

@@ -28,21 +28,21 @@ def rows_of(df):
 @pytest.mark.parametrize("keys", [["g"], []])
 def test_running_sum_and_max(skewed, keys, before):
     measures = {"s": ("sum", F.col("x")), "m": ("max", F.struct("x", -F.col("id")))}
-    args = (keys, [F.col("id")], F.col("id"), measures, before)
+    args = (keys, [F.col("id")], measures, before)
     whole = running(skewed, *args, n_chunks=1)
     cut = running(skewed, *args, n_chunks=9)
     assert rows_of(whole) == rows_of(cut)
 
 
 def test_descending_order(skewed):
-    args = (["g"], [F.col("id").desc()], -F.col("id"), {"s": ("sum", F.col("x"))})
+    args = (["g"], [F.col("id").desc()], {"s": ("sum", F.col("x"))})
     assert rows_of(running(skewed, *args, n_chunks=1)) == rows_of(running(skewed, *args, n_chunks=6))
 
 
 def test_numbers(skewed):
     w = Window.partitionBy("g").orderBy("id")
     want = skewed.withColumn("row_num", F.row_number().over(w).cast("bigint"))
-    assert rows_of(want) == rows_of(numbered(skewed, ["g"], [F.col("id")], F.col("id"), n_chunks=8))
+    assert rows_of(want) == rows_of(numbered(skewed, ["g"], [F.col("id")], n_chunks=8))
 
 
 def test_groups_decide_the_chunks(skewed):
@@ -53,7 +53,7 @@ def test_groups_decide_the_chunks(skewed):
 
 
 def test_chunks_are_even_and_ordered(skewed):
-    sizes = cut_into_chunks(skewed, F.col("id"), 10).groupBy("_chunk").agg(F.count("*").alias("n"), F.min("id"), F.max("id"))
+    sizes = cut_into_chunks(skewed, [], [F.col("id")], 10).groupBy("_chunk").agg(F.count("*").alias("n"), F.min("id"), F.max("id"))
     rows = sizes.orderBy("_chunk").collect()
     assert max(r["n"] for r in rows) <= 2 * 3000 / 10
     assert all(a["max(id)"] < b["min(id)"] for a, b in zip(rows, rows[1:], strict=False))
@@ -62,13 +62,13 @@ def test_chunks_are_even_and_ordered(skewed):
 def test_one_crowded_position_is_cut_by_the_tie(skewed):
     """Two thirds of the rows share a position; the tie column, here against the row order, cuts them."""
     df = skewed.withColumn("t", F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(1500)).withColumn("e", -F.col("id"))
-    order, tie = [F.col("t"), F.col("e")], F.col("e")
+    order = [F.col("t"), F.col("e")]
     for keys in ([], ["g"]):
-        whole = numbered(df, keys, order, F.col("t"), n_chunks=1)
-        assert rows_of(whole) == rows_of(numbered(df, keys, order, F.col("t"), n_chunks=10, tie=tie))
-    sizes = cut_into_chunks(df, F.col("t"), 10, tie).groupBy("_chunk").count()
+        whole = numbered(df, keys, order, n_chunks=1)
+        assert rows_of(whole) == rows_of(numbered(df, keys, order, n_chunks=10))
+    sizes = cut_into_chunks(df, [], order, 10).groupBy("_chunk").count()
     assert sizes.agg(F.max("count")).first()[0] <= 600
-    assert cut_into_chunks(df, F.col("t"), 10).groupBy("_chunk").count().agg(F.max("count")).first()[0] >= 2000
+    assert cut_into_chunks(df, [], order[:1], 10).groupBy("_chunk").count().agg(F.max("count")).first()[0] >= 2000
 
 
 @pytest.mark.parametrize("max_rows", [1, 7, 50, 400])
@@ -77,7 +77,7 @@ def test_look_back(skewed, max_rows):
         gaps = df.withColumn("gap", F.col("id") - F.lag("id").over(w))
         return gaps.withColumn("mean", F.avg("gap").over(w.rowsBetween(-6, 0)))
 
-    args = (["g"], [F.col("id")], F.col("id"), 7, add)
+    args = (["g"], [F.col("id")], 7, add)
     whole = look_back(skewed, *args, n_chunks=1)
     assert rows_of(whole) == rows_of(look_back(skewed, *args, n_chunks=5, max_rows=max_rows))
 
@@ -129,12 +129,12 @@ def test_history_does_not_depend_on_chunks(skewed, spark):
 def test_only_hot_groups_are_cut(spark):
     rows = [(f"user-{i % 400 if i % 2 else 7}", f"id-{i:06d}", float(i % 13)) for i in range(4000)] + [("user-7", None, 1.0)]
     df = spark.createDataFrame(rows, "g string, id string, x double").repartition(4)
-    args = (["g"], [F.col("id")], F.col("id"), {"s": ("sum", F.col("x"))})
+    args = (["g"], [F.col("id")], {"s": ("sum", F.col("x"))})
     whole = running(df, *args, n_chunks=1, totals=True)
     cut = running(df, *args, max_rows=100, totals=True)
     assert rows_of(whole) == rows_of(cut)
     _, hot = _split_hot(df, ["g"], 100)
-    openers = cut_into_chunks(hot, F.col("id"), chunks_needed(hot, ["g"], 100)).select("g", "_chunk").distinct().count()
+    openers = cut_into_chunks(hot, ["g"], [F.col("id")], chunks_needed(hot, ["g"], 100)).select("g", "_chunk").distinct().count()
     assert openers <= df.count() / 100
 
 
@@ -160,3 +160,43 @@ def test_curve_without_nan(spark):
     rows = [(i % 2, [0.1, 0.3, 0.5, 0.7, float("nan")][i % 5]) for i in range(40)]
     df = spark.createDataFrame(rows, "y int, p double")
     assert rows_of(metrics.pr_curve(df)) == rows_of(metrics.pr_curve(df, max_rows=2)) == rows_of(metrics.pr_curve(df.where("not isnan(p)")))
+
+
+@pytest.mark.parametrize(
+    "position",
+    ["date_add(date'2000-01-01', id)", "timestamp'2000-01-01' + make_interval(0, 0, 0, id)", "cast(id * 1.000000001 as decimal(38, 12))",
+     "cast(id as string)", "cast(id as double)", "make_date(2000, 1, 1 + id % 3)"],
+)
+@pytest.mark.parametrize("descending", [False, True])
+def test_every_sortable_type_is_cut(spark, position, descending):
+    """Nulls, NaN and repeated positions included; a third of the rows share one value."""
+    ids = spark.range(0, 300, 1, 3).withColumn("id", F.col("id").cast("int"))
+    odd = F.when(F.col("id") % 50 == 7, F.lit(None)).otherwise(F.expr(position))
+    if "double" in position:
+        odd = F.when(F.col("id") % 50 == 8, F.lit(float("nan"))).otherwise(odd)
+    df = ids.select(F.when(F.col("id") % 3 == 0, F.first(F.expr(position)).over(Window.partitionBy())).otherwise(odd).alias("p"), "id")
+    order = [F.col("p").desc() if descending else F.col("p"), F.col("id")]
+    for keys in ([], ["g"]):
+        rows = df.withColumn("g", F.when(F.col("id") % 10 == 0, F.lit(None)).otherwise(F.col("id") % 2))
+        measures = {"n": ("sum", F.lit(1)), "top": ("max", F.col("id"))}
+        cut, whole = (rows_of(running(rows, keys, order, measures, **how)) for how in ({"max_rows": 20}, {"n_chunks": 1}))
+        assert str(cut) == str(whole)  # NaN does not equal itself
+
+
+def test_dates_and_decimals_make_batches_shards_and_trials(spark):
+    days = spark.range(90).select(F.expr("date_add(date'2000-01-01', cast(id as int))").alias("id"), F.lit(1).alias("slice_start"), F.lit(2).alias("slice_end"))
+    assert rows_of(batches.batch_ids(days, 8)) == rows_of(batches.batch_ids(days, 8, max_rows=10))
+    assert rows_of(slicing.assign_shards(days, 8)) == rows_of(slicing.assign_shards(days, 8, max_rows=10))
+    trials = days.select(F.col("id").cast("string").cast("date").alias("trial"), F.lit(0).cast("bigint").alias("epoch"), F.rand(3).alias("score"))
+    trials = spark.createDataFrame(trials.collect(), trials.schema)
+    assert rows_of(history.flag_unpromising(trials)) == rows_of(history.flag_unpromising(trials, max_rows=10))
+
+
+def test_the_driver_gets_no_cuts(spark, monkeypatch):
+    """The number of ranges is all that is handed to the exchange; nothing is collected but the size of the largest group."""
+    seen = []
+    frame = type(spark.range(1))
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: (lambda rows: (seen.append(len(rows)), rows)[1])(collect(self)))
+    running(spark.range(5000), [], [F.col("id")], {"s": ("sum", F.col("id"))}, max_rows=100)
+    assert sum(seen) <= 1
