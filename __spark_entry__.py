@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from citeframe.functions import references, timeline
 from citeframe.functions import vectors as vec
 from citeframe.operators import batches, citations, folds, history, metrics, sequences, slicing, training
-from citeframe.plans import crossval, views
+from citeframe.plans import append, crossval, views
 from citeframe.plans.export import export, sharded_examples
 from citeframe.plans.views import BATCH_SIZE, END_YEAR, N_FEATURES, ROWS_PER_SHARD, START_YEAR, TIMEPOINTS, Y_COLS
-from citeframe.sources import datasets, scratch, shards
+from citeframe.sources import datasets, published, scratch, shards
 from citeframe.streaming import examples as lazy
 from oracle import ORACLE_SQL
 
@@ -278,6 +278,42 @@ def manifest_upsert(spark, sf_dir):
     return shards.read_manifest(spark, manifest_path)
 
 
+# Versions
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """Publishes the papers whose number does not end in 3, then appends the others; returns the place and the new ids."""
+    papers, vectors = views.labelled_papers(spark, sf_dir), views.vectors(spark, sf_dir)
+    shape = append.Shape(START_YEAR, END_YEAR, ROWS_PER_SHARD, TIMEPOINTS, N_FEATURES, Y_COLS)
+    is_new, root = F.col("id") % 10 == 3, scratch.new_path(spark, "published")
+    append.first_export(papers.where(~is_new), vectors, root, shape)
+    new_ids = papers.where(is_new).select("id")
+    append.append_papers(papers, new_ids, vectors, root, shape)
+    return root, new_ids
+
+
+def appended_examples(spark, sf_dir):
+    root, _ = _versions(spark, sf_dir)
+    rows = published.read_published(spark, root, TIMEPOINTS, N_FEATURES)
+    return _with_text(rows, "id", "publication_date_int", "slice_start", "slice_end", "shard")
+
+
+def published_manifests(spark, sf_dir):
+    root, _ = _versions(spark, sf_dir)
+    versions = [published.published_manifest(spark, root, v).withColumn("version", F.lit(v)) for v in (1, 2)]
+    return versions[0].unionByName(versions[1])
+
+
+def dangling_references(spark, sf_dir):
+    papers = views.papers(spark, sf_dir)
+    return citations.dangling_references(papers, papers)
+
+
+def stale_examples(spark, sf_dir):
+    root, new_ids = _versions(spark, sf_dir)
+    return append.stale_examples(spark, root, new_ids)
+
+
 # Folds
 
 
@@ -471,6 +507,7 @@ _QUERIES = (
     example_features, examples_between, wide_layout_totals, example_width_check, example_targets, persisted_examples,
     disk_examples, time_slices, wide_time_slices, shard_plan, shard_manifest, budget_manifest, shard_names, select_shards_overlap, train_example_count,
     export_roundtrip, exported_manifest, exported_range, manifest_upsert,
+    appended_examples, published_manifests, dangling_references, stale_examples,
     fold_table, fold_roles, fold_roles_overlap, leakage_audit, leakage_audit_overlap,
     batch_ids, whole_batches, shuffled_batches, role_batches,
     binary_metrics, metrics_by_language, balanced_accuracy, log_loss, confusion, pr_curve,

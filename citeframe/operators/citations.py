@@ -30,6 +30,14 @@ def available_references(
     return lookup_join(edges, known, "ref_id", "id", "left_semi", hot).select(*edges.columns)
 
 
+def dangling_references(papers: DataFrame, table: DataFrame, id_col: str = "id", refs_col: str = "refs") -> DataFrame:
+    """``(ref_id, id)`` of listed references that are no paper of ``table``, each once; those of a paper may become available
+    when others arrive."""
+    known = table.select(F.col(id_col).alias("ref_id"))
+    edges = explode_references(papers, id_col, refs_col).where(F.col("ref_id").isNotNull())
+    return edges.join(known, "ref_id", "left_anti").select("ref_id", "id").distinct()
+
+
 def reference_dates(
     edges: DataFrame, papers: DataFrame, id_col: str = "id", date_col: str = "publication_date_int",
     hot: Mapping[int, int] | None = None,

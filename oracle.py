@@ -344,6 +344,25 @@ ORACLE_SQL = {
             AND p.publication_date_int < (SELECT test_start FROM folds WHERE fold = 1999)""",
         "flat", "folds",
     ),
+    "appended_examples": _with(
+        f"""SELECT p.id, p.publication_date_int, p.slice_start, p.slice_end, p.shard, f.features, {_TARGETS}
+        FROM flat f JOIN sharded p USING (id)""",
+        "flat", "sharded",
+    ),
+    "published_manifests": _with(
+        f"""SELECT slice_start, slice_end, shard, n_examples, 2 AS version FROM manifest
+        UNION ALL
+        SELECT slice_start, slice_end, shard, count(*) AS n_examples, 1 AS version FROM (
+            SELECT slice_start, slice_end,
+                   ((row_number() OVER (PARTITION BY slice_start ORDER BY id) - 1) // {ROWS_PER_SHARD})::INTEGER AS shard
+            FROM sharded WHERE id % 10 <> 3
+        ) GROUP BY ALL""",
+        "manifest", "sharded",
+    ),
+    "dangling_references": _with("SELECT DISTINCT ref_id, id FROM edges WHERE ref_id NOT IN (SELECT id FROM papers)", "edges"),
+    "stale_examples": _with(
+        "SELECT DISTINCT id FROM edges WHERE id % 10 <> 3 AND ref_id % 10 = 3 AND ref_id IN (SELECT id FROM papers)", "edges"
+    ),
     "fold_table": _with(
         """SELECT f.*, count(*) FILTER (r.role = 'train') AS n_train, count(*) FILTER (r.role = 'val') AS n_val,
             count(*) FILTER (r.role = 'test') AS n_test
