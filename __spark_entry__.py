@@ -458,6 +458,12 @@ def lr_trials(spark, sf_dir):
     return trials.select("trial", F.round("l2", 9).alias("l2"), F.round("score", 6).alias("score"))
 
 
+def lr_joint_trials(spark, sf_dir):
+    path = _price_export(spark, sf_dir)
+    trials = crossval.search_first_fold_jointly(spark, path, FOLDS, *PRICE_SHAPE, training.MAX_TRIALS, tol=FIT_TOLERANCE)
+    return trials.select("trial", F.round("l2", 9).alias("l2"), F.round("score", 6).alias("score"))
+
+
 def lr_search_best(spark, sf_dir):
     return _rounded(history.best_trial(lr_trials(spark, sf_dir)))
 
@@ -485,6 +491,11 @@ def lr_sequence_trials(spark, sf_dir):
     return crossval.search_first_fold(spark, path, FOLDS, TIMEPOINTS, N_FEATURES, training.MAX_TRIALS)
 
 
+def lr_sequence_joint_trials(spark, sf_dir):
+    path, _ = _export(spark, sf_dir)
+    return crossval.search_first_fold_jointly(spark, path, FOLDS, TIMEPOINTS, N_FEATURES, training.MAX_TRIALS)
+
+
 def lr_sequence_search_best(spark, sf_dir):
     return history.best_trial(lr_sequence_trials(spark, sf_dir))
 
@@ -515,6 +526,7 @@ _QUERIES = (
     rolling_gap, trial_log, unpromising_trials, unpromising_trials_min, early_stop_epoch, early_stop_epoch_min,
     best_trial, lr_trials, lr_search_best, lr_fold_metrics, lr_test_scores,
 )
+_JOINT_FITS = (lr_joint_trials, lr_sequence_joint_trials)
 _SEQUENCE_FITS = (lr_sequence_trials, lr_sequence_search_best, lr_sequence_fold_metrics, lr_sequence_test_scores)
 
 
@@ -524,7 +536,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = {q.__name__: q for q in _QUERIES + _SEQUENCE_FITS}
+    named = {q.__name__: q for q in _QUERIES + _JOINT_FITS + _SEQUENCE_FITS}
     if llm:
         named |= llm.QUERIES | {"pipeline": corpus_pipeline.run}
     return named

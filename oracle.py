@@ -436,6 +436,7 @@ ORACLE_SQL = {
         "SELECT trial, max(score) AS score FROM trials GROUP BY trial ORDER BY score DESC, trial LIMIT 1", "trials"
     ),
     "lr_trials": _recursive("SELECT trial, round(l2, 9) AS l2, round(score, 6) AS score FROM fit_trials", "fit_trials"),
+    "lr_joint_trials": _recursive("SELECT trial, round(l2, 9) AS l2, round(score, 6) AS score FROM fit_trials", "fit_trials"),
     "lr_search_best": _recursive(f"SELECT trial, round(score, 6) AS score FROM fit_trials {_BEST}", "fit_trials"),
     "lr_fold_metrics": _recursive(
         f"""SELECT fold, (fold - 1)::VARCHAR || '-' || fold::VARCHAR AS span, {_METRICS.replace(", 6)", ", 4)")}
