@@ -6,8 +6,8 @@ the less often it stands in content the lower. One linear scan finds the contigu
 run that are no article text (forms, scripts, menus, adverts, notices, comments and so on) are left out, character
 references are decoded, white space within a block becomes one space, and blocks are joined by an empty line.
 
-Classes, ids and roles switch a part off only where they name nothing but boilerplate (``ad``, ``cookie-notice``) and the part
-holds no headline, article or main element and little of the page's text. Any other mention (``has-sidebar``, ``share-price``) is
+Classes, ids and roles switch a part off, whatever its size, only where they name nothing but boilerplate (``ad``,
+``cookie-notice``), the part holds no headline, article or main element, and words are left elsewhere on the page. Any other mention (``has-sidebar``, ``share-price``) is
 evidence: the words in it have weights of their own, unless it holds a headline, article or main element.
 
 Labelled pages are those that say where their content is, by an ``article`` or ``main`` element; the weights come from all of
@@ -24,7 +24,6 @@ import re
 import string
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -67,10 +66,6 @@ _FITTING = frozenset(
     "area bar block body bottom box btn button buttons center container content count form header icon icons inner item items js left "
     "link links list outer panel right row section slot small text title top unit wrap wrapper".split()
 )
-#: Most of a page's words that a part may hold and be switched off by its class, id or role.
-LITTLE = 0.3
-#: So few words are little on any page whose headline, article or main element stands elsewhere.
-FEW = 20
 #: Stands between links, and is no word alone.
 _BETWEEN = string.whitespace + "\xa0<>|/·•«»-–—"
 #: An open paragraph ends where one of these opens.
@@ -239,23 +234,25 @@ def tokens(page: str) -> list[Token]:
 
 
 def _judge(row: list[Token], marks: list[list[int]]) -> None:
-    """Switches off the marked parts that name nothing but boilerplate and are small; the words of other ones get weights of
-    their own."""
-    words = list(accumulate((0 if t.off or t.feature[0] == "t" else t.n for t in row), initial=0))
-    few = FEW if any(t.feature in ("t:h1", "t:article", "t:main") and not t.off for t in row) else 0
-    off_to = told_to = 0
-    for mark, start, end in marks:
-        if not mark or start < off_to:
-            continue
-        if mark == 2 and words[end] - words[start] <= max(few, LITTLE * words[-1]):
-            for t in row[start:end]:
-                t.off = True
-            off_to = end
-        else:
-            for t in row[max(start, told_to) : end]:
-                if t.feature[0] == "w":
-                    t.feature += "+m"
-            told_to = max(told_to, end)
+    """Switches off the marked parts that name nothing but boilerplate, whatever their size; the words of other ones get weights
+    of their own, and so do all of them where nothing else would be left of the page."""
+    marks = [m for m in marks if m[0]]
+    off = [(start, end) for mark, start, end in marks if mark == 2]
+    covered, to = [], 0
+    for start, end in off:
+        covered += [t for t in row[max(start, to) : end] if not t.off]
+        to = max(to, end)
+    left = sum(t.n for t in row if t.feature[0] == "w" and not t.off) - sum(t.n for t in covered if t.feature[0] == "w")
+    if left > 0:
+        for t in covered:
+            t.off = True
+        marks = [m for m in marks if m[0] == 1]
+    to = 0
+    for _, start, end in marks:
+        for t in row[max(start, to) : end]:
+            if t.feature[0] == "w" and not t.off:
+                t.feature += "+m"
+        to = max(to, end)
 
 
 # Weights

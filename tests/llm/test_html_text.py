@@ -2,6 +2,7 @@ import html
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from citeframe.llm import html_text, queries
@@ -145,3 +146,27 @@ def test_only_raw_text_runs_to_the_end():
     assert text(f"<p>one two {drawing} three four</p>") == "one two three four"
     for name in ("script", "style", "textarea", "title", "noscript", "iframe"):
         assert text(f"<p>one two three</p><{name}><p>not this</p>") == "one two three"
+
+
+_ARTICLE = [f"The {w} of the harbour town was rebuilt in the spring by people who lived there" for w in "market bridge school tower garden mill".split()]
+
+
+@pytest.mark.parametrize("share", [0.1, 0.5, 3.0])
+@pytest.mark.parametrize("kind", ['div class="comments"', 'section id="comments"', 'ol class="comment-list"', 'div class="sidebar"',
+                                  'section class="cookie-notice"', 'div class="related"', 'div role="complementary"'])
+@pytest.mark.parametrize("first", [False, True])
+def test_boilerplate_of_any_size_is_left_out(share, kind, first):
+    n = max(1, round(share * len(_ARTICLE)))
+    item = "li" if kind.startswith("ol") else "p"
+    other = f"<{kind}>" + "".join(f"<{item}>I read this {i} times and liked it every time, thank you all</{item}>" for i in range(n)) + f"</{kind.split()[0]}>"
+    text = "".join(f"<p>{p}</p>" for p in _ARTICLE)
+    for body in (f"<div>{text}</div>", f"<article><h1>Town</h1>{text}</article>"):
+        page = f"<body>{other}{body}</body>" if first else f"<body>{body}{other}</body>"
+        got = html_text.main_text(page, html_text.weights({}))
+        assert got.removeprefix("Town\n\n") == "\n\n".join(_ARTICLE)
+
+
+def test_a_page_of_one_marked_part_keeps_its_text():
+    for kind in ('div class="comments"', 'section id="sidebar"'):
+        page = f"<body><{kind}><p>{_ARTICLE[0]}</p><p>{_ARTICLE[1]}</p></{kind.split()[0]}></body>"
+        assert html_text.main_text(page, html_text.weights({})) == "\n\n".join(_ARTICLE[:2])
