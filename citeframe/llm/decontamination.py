@@ -29,6 +29,8 @@ from citeframe.sources import scratch
 N = 10
 #: Terms of a window that edited copies are searched from.
 SEVERAL = 3
+#: Positions of a text that are searched from one copy of their surroundings.
+STRETCH = 32
 #: Positions of terms that one number marks.
 _BITS = 62
 #: Most bytes of terms, or of benchmark rows, that are broadcast.
@@ -195,6 +197,22 @@ def proximity_matches(index: DataFrame, wanted: DataFrame, slack: int = 5, share
     return near.select("row", "item", "item_id", "low", "high", "n", "length").distinct()
 
 
+def _stretches(docs: DataFrame) -> DataFrame:
+    """(row, start, first, near): texts cut at every ``STRETCH`` positions, with the neighbours of the outer ones, so that
+    what a position carries does not grow with its text. ``start`` is the position of the first term of ``near``."""
+    row = F.struct(F.monotonically_increasing_id().alias("number"), "doc_id").alias("row")
+    words = docs.select(row, terms(F.col("text")).alias("words")).filter(F.size("words") > 0)
+
+    def stretch(first: Column) -> Column:
+        start = F.greatest(first - (N - 1), F.lit(0))
+        near = F.slice(F.col("words"), start + 1, first + STRETCH + N - 1 - start)
+        return F.struct(start.alias("start"), first.alias("first"), near.alias("near"))
+
+    firsts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(STRETCH))
+    cut = words.select("row", F.explode(F.transform(firsts, stretch)).alias("s"))
+    return cut.select("row", "s.start", "s.first", F.transform("s.near", lowered).alias("near"))
+
+
 def proximity(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """(row, doc_id, item, item_id, low, high, n, length) of every document and item that match nearly: where most of the
     item's terms do, then the first. Places are not stored: each block of terms is read from the documents."""
@@ -203,16 +221,16 @@ def proximity(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **opti
     near_lookups(items, term_counts(docs, items.select(F.explode("terms").alias("term")).distinct())).write.parquet(path)
     wanted = spark.read.parquet(path)
     vocabulary = wanted.select("term").distinct()
-    row = F.struct(F.monotonically_increasing_id().alias("number"), "doc_id").alias("row")
-    words = docs.select(row, terms(F.col("text")).alias("words"))
-    found = words.select("row", "words", F.posexplode("words").alias("pos", "w")).withColumn("term", lowered(F.col("w")))
+    spread = _stretches(docs).select("row", "start", "first", "near", F.posexplode("near").alias("at", "term"))
+    pos = F.col("start") + F.col("at")
+    found = spread.filter((pos >= F.col("first")) & (pos < F.col("first") + STRETCH))
     size = vocabulary.agg(F.sum(F.octet_length("term") + 8)).first()[0] or 0
     blocks = int(size // BROADCAST) + 1
-    before, after = _beside(F.col("words"), F.col("pos"), F.size("words"))
+    before, after = _beside(F.col("near"), F.col("at"), F.size("near"))
     postings = None
     for block in range(blocks):
         part = found.join(F.broadcast(vocabulary.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block)), "term", "left_semi")
-        part = part.select("row", "term", "pos", F.transform(before, lowered).alias("before"), F.transform(after, lowered).alias("after"))
+        part = part.select("row", "term", pos.alias("pos"), before.alias("before"), after.alias("after"))
         postings = part if postings is None else postings.union(part)
     near = proximity_matches(postings, wanted, **options)
     best = F.min(F.struct((-F.col("n")).alias("least"), "low", "high", "n", "length", "item_id")).alias("best")
