@@ -64,3 +64,17 @@ def test_held_out_rows_are_told_apart(spark):
     auc = (np.searchsorted(np.sort(bad), good) / len(bad)).mean()
     assert auc > 0.99
     assert (good >= 0.3).mean() > 0.99 and (bad < 0.3).mean() > 0.9
+
+
+def test_sums_over_the_stored_table_take_every_row(spark):
+    rows = [(i, f"word{i % 7} " * (i % 30) + "ü!" * (i % 3)) for i in range(400)] + [(400, None), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    table = quality._unlabelled(docs)
+    kept = [t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 5]
+    x = np.array([quality.features(t) for t in kept]).astype(np.float32).astype(np.float64)
+    assert np.allclose(table.total(quality._moments), quality._Block(x).total(quality._moments))
+    ready = quality._Standard(x.mean(axis=0), x.std(axis=0) + 1e-3)
+    w = np.linspace(-1, 1, quality.N_FEATURES + 1)
+    one, other = quality._curve(table, ready, w, True), quality._curve(quality._Block(x), ready, w, True)
+    assert np.isclose(one.loss, other.loss) and np.allclose(one.gradient, other.gradient) and np.allclose(one.curvature, other.curvature)
+    assert sum(half.total(quality._moments)[0] for half in table.halves()) == len(kept)
