@@ -335,6 +335,10 @@ def leakage_audit_overlap(spark, sf_dir):
     return folds.leakage_audit(_sliced(spark, sf_dir), FOLDS, "overlap")
 
 
+def reference_leakage(spark, sf_dir):
+    return folds.reference_leakage(views.papers(spark, sf_dir), rank_references(spark, sf_dir), FOLDS)
+
+
 # Batches
 
 
@@ -517,7 +521,7 @@ _QUERIES = (
     disk_examples, time_slices, wide_time_slices, shard_plan, shard_manifest, budget_manifest, shard_names, select_shards_overlap, train_example_count,
     export_roundtrip, exported_manifest, exported_range, manifest_upsert,
     appended_examples, published_manifests, dangling_references, stale_examples,
-    fold_table, fold_roles, fold_roles_overlap, leakage_audit, leakage_audit_overlap,
+    fold_table, fold_roles, fold_roles_overlap, leakage_audit, leakage_audit_overlap, reference_leakage,
     batch_ids, whole_batches, shuffled_batches, role_batches,
     binary_metrics, metrics_by_language, balanced_accuracy, log_loss, confusion, pr_curve,
     fold_metrics, fold_pr_curves,

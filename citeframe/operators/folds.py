@@ -134,3 +134,35 @@ def leakage_audit(
         for f in folds
     ]
     return papers.agg(F.array(*rows).alias("folds")).select(F.inline("folds"))
+
+
+def reference_leakage(
+    papers: DataFrame, references: DataFrame, folds: Sequence[Fold], id_col: str = "id", date_col: str = "publication_date_int"
+) -> DataFrame:
+    """Per fold, the references of training papers that are dated in its validation or test window, and those papers.
+
+    ``references`` are rows ``(id, ref_date)``, as kept for the examples. Nothing bars a reference younger than its paper, so the
+    counts show what a model may see of a later window. They are summed per paper first, so a much-cited or long-listed paper
+    is no hot group; a reference without a date lies in no window.
+    """
+
+    def dated(low: int, high: int) -> Column:
+        return F.count_if((F.col("ref_date") >= F.lit(low)) & (F.col("ref_date") < F.lit(high)))
+
+    counts = [
+        dated(*f.window(role)).alias(f"_{role}_{f.end_year}") for f in folds for role in ("val", "test")
+    ]
+    per_paper = references.groupBy("id").agg(*counts)
+    rows = papers.select(F.col(id_col).alias("id"), F.col(date_col)).join(per_paper, "id", "left")
+
+    def found(f: Fold) -> Column:
+        training = in_role(f, "train", "exclusive", date_col)
+        val, test = (F.coalesce(F.col(f"_{role}_{f.end_year}"), F.lit(0)) for role in ("val", "test"))
+        return F.struct(
+            F.lit(f.end_year).alias("fold"),
+            F.coalesce(F.sum(F.when(training, val)), F.lit(0)).alias("val_references"),
+            F.coalesce(F.sum(F.when(training, test)), F.lit(0)).alias("test_references"),
+            F.count_if(training & (val + test > 0)).alias("n_papers"),
+        )
+
+    return rows.agg(F.array(*[found(f) for f in folds]).alias("folds")).select(F.inline("folds"))

@@ -373,6 +373,15 @@ ORACLE_SQL = {
     "fold_roles_overlap": _with("SELECT id, fold, role FROM roles_overlap", "roles_overlap"),
     "leakage_audit": _with(_LEAKAGE.format(roles="roles"), "folds", "roles"),
     "leakage_audit_overlap": _with(_LEAKAGE.format(roles="roles_overlap"), "folds", "roles_overlap"),
+    "reference_leakage": _with(
+        """SELECT f.fold, count(*) FILTER (r.ref_date >= f.val_start AND r.ref_date < f.test_start) AS val_references,
+            count(*) FILTER (r.ref_date >= f.test_start AND r.ref_date < f.test_end) AS test_references,
+            count(DISTINCT r.id) FILTER (r.ref_date >= f.val_start AND r.ref_date < f.test_end) AS n_papers
+        FROM folds f LEFT JOIN (SELECT r.*, p.publication_date_int FROM ranked r JOIN papers p USING (id)) r
+            ON r.publication_date_int >= f.train_start AND r.publication_date_int < f.val_start
+        GROUP BY f.fold""",
+        "folds", "ranked",
+    ),
     "batch_ids": f"""SELECT id, batch_id FROM (
             SELECT o_orderkey AS id, (row_number() OVER (ORDER BY o_orderkey) - 1) // {BATCH} AS batch_id FROM orders
         ) WHERE batch_id < (SELECT count(*) // {BATCH} FROM orders)""",

@@ -85,3 +85,17 @@ def test_shard_choice_at_the_bounds(spark):
     assert starts(select_shards(manifest, 10, 20, "exclusive")) == [10]
     with pytest.raises(ValueError):
         select_shards(manifest, 0, 1, "other")
+
+
+def test_a_planted_leak_is_counted(spark):
+    fold = fo.make_folds(2000, 2006, 2, 1, 1)[0]
+    train, val, test = fold.train_start, fold.val_start, fold.test_start
+    papers = spark.createDataFrame([(1, train), (2, train), (3, val), (4, train), (5, None)], "id bigint, publication_date_int bigint")
+    schema = "id bigint, ref_date bigint"
+    clean = spark.createDataFrame([(1, train), (2, None), (3, test), (5, test), (9, test)], schema)
+    assert [tuple(r) for r in fo.reference_leakage(papers, clean, [fold]).collect()] == [(fold.end_year, 0, 0, 0)]
+    leaks = spark.createDataFrame([(1, val), (1, test), (1, test), (4, fold.test_end - 1), (2, fold.test_end)], schema)
+    found = fo.reference_leakage(papers, clean.union(leaks), [fold]).collect()
+    assert [tuple(r) for r in found] == [(fold.end_year, 1, 3, 2)]
+    empty = fo.reference_leakage(papers.limit(0), clean.limit(0), [fold]).collect()
+    assert [tuple(r) for r in empty] == [(fold.end_year, 0, 0, 0)]
