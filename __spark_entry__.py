@@ -38,7 +38,8 @@ def _examples(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 
 def _sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slicing.time_slices(views.papers(spark, sf_dir), START_YEAR, END_YEAR)
+    period = timeline.year_start_ns(START_YEAR), timeline.year_start_ns(END_YEAR)
+    return slicing.time_slices(views.papers(spark, sf_dir, period), START_YEAR, END_YEAR)
 
 
 def _sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,7 +321,8 @@ def fold_table(spark, sf_dir):
 
 
 def fold_roles(spark, sf_dir):
-    return folds.assign_roles(views.papers(spark, sf_dir), FOLDS)
+    period = min(f.train_start for f in FOLDS), max(f.test_end for f in FOLDS)
+    return folds.assign_roles(views.papers(spark, sf_dir, period), FOLDS)
 
 
 def fold_roles_overlap(spark, sf_dir):

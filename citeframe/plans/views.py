@@ -13,6 +13,7 @@ from citeframe.functions.references import format_reference_list
 from citeframe.functions.timeline import to_epoch_ns
 from citeframe.operators.folds import assign_roles, make_folds
 from citeframe.operators.history import trial_log
+from citeframe.sources.datasets import scan_period
 
 # Settings of the registered queries.
 TIMEPOINTS = 4
@@ -44,10 +45,13 @@ def _refs() -> Column:
     return F.when(absent, F.lit(None)).otherwise(F.concat(popular, near, again, outside))
 
 
-def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def papers(spark: SparkSession, sf_dir: str, period: tuple[int, int] | None = None) -> DataFrame:
     """``(id, publication_date_int, refs)``: up to eight near papers; urgent orders also cite paper 0,
-    high ones repeat a reference, low ones cite a work outside the table. Some lists are empty or null."""
+    high ones repeat a reference, low ones cite a work outside the table. Some lists are empty or null.
+    ``period`` keeps the papers dated in ``[low, high)`` epoch nanoseconds, by a filter on the stored date."""
     orders = table(spark, sf_dir, "orders")
+    if period:
+        orders = scan_period(orders, *period, "o_orderdate")
     return orders.select(
         F.col("o_orderkey").alias("id"), to_epoch_ns(F.col("o_orderdate")).alias("publication_date_int"), _refs().alias("refs")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeframe.functions.references import WORK_PREFIX, parse_reference_list
+from citeframe.functions.timeline import DAY_NS
 from citeframe.functions.vectors import feature_columns
 
 
@@ -27,6 +29,27 @@ def scan_range(df: DataFrame, cols: Sequence[str], low, high, range_col: str) ->
     return df.where((c >= F.lit(low)) & (c < F.lit(high))).select(*cols)
 
 
+def scan_period(df: DataFrame, low: int, high: int, date_col: str) -> DataFrame:
+    """Rows dated in ``[low, high)`` epoch nanoseconds, whatever type the date is stored in; null dates drop.
+
+    The bounds are turned into the stored type (bigint nanoseconds, ``timestamp_ntz`` or date) and the column stays bare, so the
+    range reaches the file scan; a range over the converted column would not. A zoned timestamp is an error.
+    """
+    epoch = dt.datetime(1970, 1, 1)
+    stored = df.schema[date_col].dataType
+    if isinstance(stored, T.LongType):
+        unit, literal = 1, F.lit
+    elif isinstance(stored, T.TimestampNTZType):
+        unit, literal = 1000, lambda us: F.expr(f"timestamp_ntz'{epoch + dt.timedelta(microseconds=us)}'")
+    elif isinstance(stored, T.DateType):
+        unit, literal = DAY_NS, lambda days: F.lit((epoch + dt.timedelta(days=days)).date())
+    else:
+        raise TypeError(f"{date_col} is {stored.simpleString()}, not bigint, timestamp_ntz or date")
+    # A whole number of units is at or above a bound exactly if it is at or above the bound rounded up.
+    first, end = (literal(-(-bound // unit)) for bound in (low, high))
+    return df.where((F.col(date_col) >= first) & (F.col(date_col) < end))
+
+
 def scan_in(df: DataFrame, cols: Sequence[str], keys: DataFrame | Sequence, key_col: str) -> DataFrame:
     """Rows whose key is in a set: a short Python list, or the first column of a DataFrame of any size."""
     if isinstance(keys, DataFrame):

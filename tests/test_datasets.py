@@ -1,8 +1,11 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from citeframe.functions.references import WORK_PREFIX
+from citeframe.functions.timeline import DAY_NS
 from citeframe.sources import datasets as ds
 from citeframe.sources import scratch
 
@@ -80,3 +83,24 @@ def test_shared_dir_is_the_named_one(spark):
     path = scratch.new_path(spark, "x")
     assert path != scratch.new_path(spark, "x")
     assert path.startswith(named or spark.sparkContext.getCheckpointDir())
+
+
+@pytest.mark.parametrize("kind", ["bigint", "timestamp_ntz", "date"])
+def test_a_period_is_the_same_in_every_stored_type(spark, tmp_path, kind):
+    days = spark.range(-3, 4).select("id", F.date_add(F.lit(dt.date(1970, 1, 1)), F.col("id").cast("int")).alias("day"))
+    stored = F.col("day").cast("timestamp_ntz") if kind != "date" else F.col("day")
+    rows = days.select("id", (F.col("id") * DAY_NS if kind == "bigint" else stored).alias("at")).union(spark.sql(f"SELECT 99L, cast(null AS {kind})"))
+    rows.write.parquet(f"{tmp_path}/{kind}")
+    rows = spark.read.parquet(f"{tmp_path}/{kind}")
+    for low, high in [(0, DAY_NS), (-DAY_NS, 1), (-DAY_NS + 1, DAY_NS + 1), (1, 1), (-3 * DAY_NS - 1, 3 * DAY_NS)]:
+        found = ds.scan_period(rows, low, high, "at")
+        assert sorted(r["id"] for r in found.collect()) == [i for i in range(-3, 4) if low <= i * DAY_NS < high]
+    assert "GreaterThanOrEqual(at," in found._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(TypeError, match="timestamp"):
+        ds.scan_period(spark.sql("SELECT timestamp'2000-01-01' AS at"), 0, 1, "at")
+
+
+def test_periods_of_slices_and_folds_reach_the_scan(spark, sf):
+    for query in (entry.time_slices, entry.fold_roles):
+        plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(o_orderdate,1995-01-01T00:00" in plan and "LessThan(o_orderdate," in plan
