@@ -25,11 +25,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeframe.llm.arrow_runs import small
 from citeframe.sources.scratch import new_path
 
 #: Most positives that the fit sees. Unlabelled rows have no limit.
@@ -44,6 +44,8 @@ FOLDS = 5
 SMOOTHING = 150
 #: Bytes that are turned into features at a time.
 PIECE = 1 << 20
+#: Rows of features that a task holds as numbers at a time.
+ROWS = 1000
 
 # Features
 
@@ -98,7 +100,8 @@ def features(text: str | None) -> np.ndarray:
     return np.concatenate([shape, np.sqrt(kinds / total), np.sqrt(hashed / total)])
 
 
-def _matrix(texts) -> np.ndarray:
+def _matrix(column: pa.Array) -> np.ndarray:
+    texts = column.to_pylist()
     known: dict[str | None, np.ndarray] = {}
     for t in texts:
         if t not in known:
@@ -139,8 +142,9 @@ class _Table:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = measure(np.zeros((0, N_FEATURES)))
             for batch in batches:
-                raw = b"".join(batch.column("x").to_pylist())
-                total = total + measure(np.frombuffer(raw, np.float32).reshape(-1, N_FEATURES).astype(np.float64))
+                for start in range(0, batch.num_rows, ROWS):
+                    raw = b"".join(batch.column("x").slice(start, ROWS).to_pylist())
+                    total = total + measure(np.frombuffer(raw, np.float32).reshape(-1, N_FEATURES).astype(np.float64))
             place = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(total[place])], ["place", "total"])
 
@@ -291,28 +295,31 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
+def _packed(column: pa.Array) -> pa.Array:
+    return pa.array([r.tobytes() for r in _matrix(column).astype(np.float32)], pa.binary())
+
+
 def _sample(ids: DataFrame, docs: DataFrame, limit: int) -> np.ndarray:
     """Features of the documents with the ``limit`` ids least in a hash."""
     picked = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"h": batch["h"], "x": list(_matrix(batch["text"]).astype(np.float32))})
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, "text", PIECE):
+            yield pa.RecordBatch.from_arrays([batch.column("h"), _packed(batch.column("text"))], ["h", "x"])
 
     rows = docs.join(F.broadcast(picked), "doc_id", "left_semi").select(F.xxhash64("doc_id", "text").alias("h"), "text")
     # An id that repeats cannot bring in more than the limit.
     rows = rows.dropDuplicates(["h"]).orderBy("h").limit(limit)
-    found = rows.mapInPandas(extract, "h bigint, x array<float>").toPandas().sort_values("h")
-    return np.array(found["x"].tolist(), dtype=np.float64).reshape(len(found), N_FEATURES)
+    found = rows.mapInArrow(extract, "h bigint, x binary").toArrow().sort_by("h")
+    return np.frombuffer(b"".join(found["x"].to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
 
 
 def _unlabelled(docs: DataFrame) -> _Table:
     """Features of all documents that are not held out, written once; copies of an id share a half."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch.column("text").to_pylist()).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column("half"), pa.array([r.tobytes() for r in x], pa.binary())], ["half", "x"])
+        for batch in small(batches, "text", PIECE):
+            yield pa.RecordBatch.from_arrays([batch.column("half"), _packed(batch.column("text"))], ["half", "x"])
 
     half = (F.xxhash64(F.col("doc_id").cast("string")) % 2 == 0).alias("half")
     path = new_path(docs.sparkSession, "quality-features")
@@ -331,8 +338,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score(text: Column, model: Model) -> Column:
     """Probability of label 1 for a whole text."""
 
-    @F.pandas_udf("double")
-    def scores(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(_matrix(texts)))
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        parts = small([pa.RecordBatch.from_arrays([texts], ["text"])], "text", PIECE)
+        found = [model.scores(_matrix(part.column("text"))) for part in parts]
+        return pa.array(np.concatenate([np.zeros(0), *found]))
 
     return scores(text)
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, all columns, whose ``text`` scores ``threshold`` or more. Rows pass through tasks about ``PIECE`` bytes of
+    text at a time: a filter by ``score`` would hold a batch of whole rows beside the texts that are scored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, "text", PIECE):
+            yield batch.filter(pa.array(model.scores(_matrix(batch.column("text"))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
