@@ -13,7 +13,7 @@ from citeframe.sources import scratch
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score below the threshold."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.filter(quality.score(F.col("text"), model) >= quality.THRESHOLD)
+    return quality.keep(docs, model)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
