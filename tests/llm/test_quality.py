@@ -51,6 +51,24 @@ def test_odd_rows(spark, sf):
     assert [r[0] for r in docs.select(quality.held_out(F.col("doc_id"))).collect()][3] is True
 
 
+def test_keep_passes_the_rows_of_the_same_scores(spark, monkeypatch):
+    """Nulls, empty and long texts, repeats and extra columns, in pieces far smaller than the long text."""
+    monkeypatch.setattr(quality, "PIECE", 2000)
+    rows = [(1, "good words in a row " * 2000, [1]), (1, "good words in a row " * 2000, [1]), (2, None, None), (None, "", [])]
+    rows += [(i, f"text {i} " * (i % 40) + "!" * (i % 7), [i]) for i in range(3, 200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score array<int>").repartition(3)
+    rng = np.random.default_rng(2)
+    n = quality.N_FEATURES
+    model = quality.Model(np.zeros(n), np.ones(n), rng.normal(0, 1, n), 0.0, 0.5)
+    cut = float(np.median([r[0] for r in docs.select(quality.score(F.col("text"), model)).collect()])) + 1e-9
+    want = docs.filter(quality.score(F.col("text"), model) >= cut)
+    found = quality.keep(docs, model, cut)
+    assert found.schema == docs.schema
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    assert 0 < found.count() < docs.count()
+    assert quality.keep(docs.limit(0), model).count() == 0
+
+
 def test_held_out_rows_are_told_apart(spark):
     sf = "/root/testdata/sf0.1"
     found = queries.op7_quality_classifier(spark, sf).collect()
