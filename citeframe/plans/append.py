@@ -90,7 +90,8 @@ def append_papers(papers: DataFrame, new_ids: DataFrame, vectors: DataFrame, roo
         stored = published.read_published(spark, root, shape.timepoints, shape.n_features, slices=old)
         same = numbered.where("_changed IS NULL").select("id", "shard")
         kept = stored.drop("shard").join(same, "id").select(*built.columns)
-        built = built.unionByName(kept).repartition(*SHARD_KEYS)
+        # What was built is laid out by shard already.
+        built = built.unionByName(kept.repartition(*SHARD_KEYS))
     folder = published.new_folder(root)
     fresh = papers.join(new_ids.select("id"), "id", "left_semi")
     dangling_references(fresh, papers).write.parquet(_index_path(root, folder))
