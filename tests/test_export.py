@@ -126,3 +126,7 @@ def test_rows_of_a_shard_lie_together(spark, paths):
     starts = [b for a, b in zip([None, *order], order, strict=False) if a != b]
     files = {r["place"]["file"] for r in rows}
     assert len(starts) <= len(set(order)) + len(files)
+
+
+def test_shards_are_written_in_zstd(spark, paths):
+    assert all(name.endswith(".zstd.parquet") for name in spark.read.parquet(paths[0]).inputFiles())
