@@ -89,6 +89,24 @@ def test_group_keys_travel_with_the_examples(toy):
     assert all(r["part"] == r["id"] % 3 for r in rows.collect())
 
 
+def test_examples_laid_out_by_paper_equal_those_of_one_group(spark):
+    """Repeated papers and vectors, null ids, a list that is too long and a focal paper outside the table."""
+    papers = spark.createDataFrame(
+        [(1, 10, [2], 1), (1, 10, [2], 1), (2, 20, None, None), (2, 25, [1, 3], 0), (3, 30, [1, 2, 2, 9], 0), (None, 40, [1], 1)],
+        "id bigint, publication_date_int bigint, refs array<bigint>, label int",
+    )
+    outside = spark.createDataFrame([(8, 80, [3, 1], 1)], papers.schema)
+    vectors = spark.createDataFrame(
+        [(1, [1.0, 1.5]), (2, [2.0, None]), (2, [2.5, 2.5]), (None, [7.0, 7.0])], "id bigint, embedding array<float>"
+    )
+    focal = papers.union(outside).withColumn("part", F.lit(0))
+    options = dict(y_cols=["label"], pad=PAD, filter_vectors=False)
+    lie = build_examples(papers, vectors, K, N, focal=focal, **options)
+    grouped = build_examples(papers, vectors, K, N, focal=focal, group_keys=["part"], **options)
+    got, want = (sorted(map(str, rows.select(*lie.columns).collect())) for rows in (lie, grouped))
+    assert got == want and len(got) == 5
+
+
 def test_filled_labels(toy):
     papers, vectors = toy
     rows = build_examples(papers, vectors, K, N, ["label"], fill_labels=0.0)

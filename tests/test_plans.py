@@ -77,6 +77,20 @@ def test_vectors_are_shuffled_once_with_the_steps_and_once_assembled(spark, sf,
     assert "REPARTITION_BY_COL" in plan
 
 
+def test_a_paper_meets_its_own_vector_where_it_lies(spark, sf, conf):
+    conf(autoBroadcastJoinThreshold="-1", adaptive__enabled="false")
+    papers, vectors = views.papers(spark, sf), spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    plan = plan_of(build_examples(papers, vectors, 4, 64, hot={})).splitlines()
+    sides = next(i for i, line in enumerate(plan) if "FullOuter" in line)
+    own, cited = [i for i, line in enumerate(plan) if "SortMergeJoin" in line and "LeftOuter" in line]
+    assert sides < own < cited
+    # Above the join with the own vectors nothing is shuffled; above that with the cited ones it is once, ungrouped.
+    assert not any("Exchange" in line for line in plan[:own])
+    assert sum("Exchange" in line and "REPARTITION_BY_COL" in line for line in plan[own:cited]) == 1
+    # Both parts read one shuffle of the vectors.
+    assert sum("Scan parquet" in line and "embedding#" in line for line in plan) == 1
+
+
 @pytest.mark.parametrize("name", sorted({q.__name__ for q in entry._QUERIES} - {"lr_trials", "lr_search_best", "lr_fold_metrics", "lr_test_scores"}))
 def test_no_query_runs_python_or_a_cross_join(spark, sf, name):
     plan = plan_of(entry.queries()[name](spark, sf))
