@@ -11,7 +11,7 @@ from citeframe.operators import citations, skew
 from citeframe.operators.sequences import build_examples
 from citeframe.operators.slicing import time_slices
 from citeframe.plans import views
-from citeframe.sources import scratch
+from citeframe.sources import scratch, shards
 
 
 def plan_of(df):
@@ -77,6 +77,22 @@ def test_vectors_are_shuffled_once_with_the_steps_and_once_assembled(spark, sf,
     assert "REPARTITION_BY_COL" in plan
 
 
+def test_exported_steps_are_sorted_once(spark, sf, conf):
+    conf(autoBroadcastJoinThreshold="-1", adaptive__enabled="false")
+    papers, vectors = views.papers(spark, sf), spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    focal = papers.select("*", *[(F.col("id") % 7).alias(k) for k in shards.SHARD_KEYS])
+    examples = build_examples(papers, vectors, 4, 64, focal=focal, group_keys=shards.SHARD_KEYS, hot={})
+    plan = plan_of(examples.sortWithinPartitions(*shards.SHARD_KEYS)).splitlines()
+    shuffled = [i for i, line in enumerate(plan) if "Exchange" in line]
+    # Between the shuffle by shard and the file: one sort, which the write shares, and no grouping.
+    above = "\n".join(plan[: shuffled[0]])
+    assert len(re.findall(r"\bSort \[", above)) == 1 and "Aggregate" not in above
+    # The steps leave the lookup of their dates as they come out of it.
+    dates = next(i for i, line in enumerate(plan) if "SortMergeJoin" in line and "Inner" in line)
+    by_paper = max(i for i in shuffled if i < dates)
+    assert not any("Sort [" in line for line in plan[by_paper:dates])
+
+
 def test_a_paper_meets_its_own_vector_where_it_lies(spark, sf, conf):
     conf(autoBroadcastJoinThreshold="-1", adaptive__enabled="false")
     papers, vectors = views.papers(spark, sf), spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
