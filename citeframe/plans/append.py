@@ -13,14 +13,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeframe.operators.citations import dangling_references
+from citeframe.operators.keyfilter import key_blocks, may_hold
 from citeframe.operators.sequences import build_examples
 from citeframe.operators.slicing import assign_shards, time_slices
 from citeframe.plans.export import sharded_examples
-from citeframe.sources import published
+from citeframe.sources import published, scratch
 from citeframe.sources.shards import SHARD_KEYS
 
 
@@ -50,7 +51,7 @@ def first_export(papers: DataFrame, vectors: DataFrame, root: str, shape: Shape)
         shape.y_cols, shape.pad, filter_vectors=False,
     )
     dangling_references(papers, papers).write.parquet(_index_path(root, folder))
-    published.write_part(examples, root, folder, shape.rows_per_shard)
+    published.write_part([examples], root, folder, shape.rows_per_shard)
     return published.commit(papers.sparkSession, root, folder)
 
 
@@ -68,6 +69,33 @@ def stale_examples(spark: SparkSession, root: str, new_ids: DataFrame) -> DataFr
     return dangling_index(spark, root).join(arrived, "ref_id", "left_semi").select("id").distinct()
 
 
+def _renumbered(stored: DataFrame, shards: DataFrame) -> DataFrame:
+    """The rows of ``stored.drop("shard").join(shards, "id")``, laid out by their new shard and sorted; wide rows are shuffled once.
+
+    The join is made on ids alone, and written. It says which new shards an old one goes to and within which ids: some rows for
+    each shard, which are broadcast, so that a stored row finds its new shard where it is read. Rows without one stay behind by a filter
+    of fixed size (``operators/keyfilter``) on their ids, and the few that pass it are left out next to the ids of the join.
+    """
+    spark, path = stored.sparkSession, scratch.new_path(stored.sparkSession, "moves")
+    here = [*SHARD_KEYS[:2], "_from"]
+    stored = stored.withColumnRenamed("shard", "_from")
+    moves = stored.select("id", *here).join(shards, "id")
+    with scratch.dropping_shuffles(spark):
+        moves.write.parquet(path)
+    moves = spark.read.schema(moves.schema).parquet(path)
+    pairs = moves.groupBy(*here, "shard", "id").agg(F.count("*").alias("_pairs"))
+    ways = pairs.groupBy(*here, "shard").agg(F.min("id").alias("_low"), F.max("id").alias("_high"), F.max("_pairs").alias("_most"))
+    going = may_hold(stored, "id", key_blocks(moves, "id")).join(F.broadcast(ways), here)
+    going = going.where(F.col("id").between(F.col("_low"), F.col("_high")))
+    # A repeated id has a row for each pair, as in the join; the others have one.
+    going = going.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_most"))).drop("_low", "_high", "_most")
+    met = going.unionByName(moves.withColumn("_pair", F.lit(1)), allowMissingColumns=True)
+    one = Window.partitionBy(*SHARD_KEYS, "_from", "id")
+    n_stored, n_pairs = F.sum((F.col("_copy") == 1).cast("int")).over(one), F.sum("_pair").over(one)
+    rows = met.repartition(*SHARD_KEYS).withColumns({"_stored": n_stored, "_pairs": n_pairs})
+    return rows.where(F.col("_copy") * F.col("_stored") <= F.col("_pairs")).select(*stored.drop("_from").columns, "shard")
+
+
 def append_papers(papers: DataFrame, new_ids: DataFrame, vectors: DataFrame, root: str, shape: Shape) -> int:
     """Publishes the version that a full export of ``papers``, the new ones included, would give; returns its number.
 
@@ -85,15 +113,12 @@ def append_papers(papers: DataFrame, new_ids: DataFrame, vectors: DataFrame, roo
         papers, vectors, shape.timepoints, shape.n_features, shape.y_cols, shape.pad, focal=focal, group_keys=SHARD_KEYS,
         filter_vectors=True,
     )
-    old = published.version_slices(spark, root).where(F.col("slice_start").isin(touched))
+    parts, old = [built], published.version_slices(spark, root).where(F.col("slice_start").isin(touched))
     if not old.isEmpty():
         stored = published.read_published(spark, root, shape.timepoints, shape.n_features, slices=old)
-        same = numbered.where("_changed IS NULL").select("id", "shard")
-        kept = stored.drop("shard").join(same, "id").select(*built.columns)
-        # What was built is laid out by shard already.
-        built = built.unionByName(kept.repartition(*SHARD_KEYS))
+        parts.append(_renumbered(stored, numbered.where("_changed IS NULL").select("id", "shard")).select(*built.columns))
     folder = published.new_folder(root)
     fresh = papers.join(new_ids.select("id"), "id", "left_semi")
     dangling_references(fresh, papers).write.parquet(_index_path(root, folder))
-    published.write_part(built, root, folder, shape.rows_per_shard)
+    published.write_part(parts, root, folder, shape.rows_per_shard)
     return published.commit(spark, root, folder)

@@ -12,20 +12,22 @@ from pyspark.sql import functions as F
 from citeframe.functions.timeline import FLOAT_BYTES, ceil_div
 from citeframe.functions.vectors import checked_width
 from citeframe.operators.slicing import meets, shard_counts
+from citeframe.sources.scratch import dropping_shuffles
 
 SLICE_KEYS = ("slice_start", "slice_end")
 SHARD_KEYS = (*SLICE_KEYS, "shard")
 
 
-def write_shards(examples: DataFrame, path: str, rows_per_shard: int, overwrite: bool = False) -> None:
+def write_shards(examples: DataFrame, path: str, rows_per_shard: int, overwrite: bool = False, append: bool = False) -> None:
     """Writes examples below ``slice_start=/slice_end=``, at most ``rows_per_shard`` rows per file.
 
-    ``overwrite`` drops the whole output first; otherwise only the slices present are replaced. The sort is the
-    one a partitioned write needs, with the shard added, so the rows of a shard lie together.
+    ``overwrite`` drops the whole output first, ``append`` adds files to it; otherwise only the slices present are replaced. The sort is the
+    one a partitioned write needs, with the shard added, so the rows of a shard lie together. The shuffle files behind the
+    examples are deleted when they are written: a later step needs the disk.
     """
     writer = (
         examples.sortWithinPartitions(*SHARD_KEYS)
-        .write.mode("overwrite")
+        .write.mode("append" if append else "overwrite")
         .option("partitionOverwriteMode", "static" if overwrite else "dynamic")
         .option("maxRecordsPerFile", rows_per_shard)
         # Embedding values hardly repeat, so a dictionary would only be built and thrown away.
@@ -33,7 +35,8 @@ def write_shards(examples: DataFrame, path: str, rows_per_shard: int, overwrite:
         # A vector comes again in every example that cites its paper, beyond the reach of the default codec.
         .option("compression", "zstd")
     )
-    writer.partitionBy(*SLICE_KEYS).parquet(path)
+    with dropping_shuffles(examples.sparkSession):
+        writer.partitionBy(*SLICE_KEYS).parquet(path)
 
 
 def _slices_as_bigint(df: DataFrame) -> DataFrame:

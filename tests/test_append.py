@@ -1,11 +1,14 @@
 """Versions of an export: appended papers give what a full export gives, and readers never see half a version."""
 
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from citeframe.functions.timeline import year_start_ns
 from citeframe.plans import append
-from citeframe.sources import published, scratch
+from citeframe.sources import published, scratch, shards
 
 SHAPE = append.Shape(2000, 2004, 3, 2, 2, ("y",))
 
@@ -97,3 +100,60 @@ def test_ranges_and_missing_versions(spark, tables, full):
     want = [r for r in full if low <= r[4] < high]
     assert rows_of(read(spark, root, t_min=low, t_max=high)) == want
     assert len({r[2] for r in rows_of(read(spark, root, t_min=low, t_max=high, boundary="overlap"))}) >= 1
+
+
+def test_copied_examples_are_shuffled_once(spark, tables, monkeypatch):
+    papers, vectors = tables
+    root, is_new, plans = scratch.new_path(spark, "published"), F.col("id") == 35, []
+    append.first_export(papers.where(~is_new), vectors, root, SHAPE)
+
+    formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+
+    def look(examples, *_, **__):
+        plans.append(examples.sortWithinPartitions(*shards.SHARD_KEYS)._jdf.queryExecution().explainString(formatted))
+
+    monkeypatch.setattr(published, "write_shards", look)
+    monkeypatch.setattr(published, "write_manifest", lambda *_, **__: None)
+    monkeypatch.setattr(published, "commit", lambda *_: 2)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        append.append_papers(papers, papers.where(is_new).select("id"), vectors, root, SHAPE)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+    def wide(plan, node):
+        found = re.findall(rf"\n\(\d+\) {node}[^\n]*\nInput \[\d+\]: \[(.*)\]", plan)
+        return sum("features#" in columns for columns in found)
+
+    # One for the copies, and one sort of them; the built ones are put together behind the shuffle of their steps.
+    assert sum(wide(p, "Exchange") for p in plans) == sum(wide(p, "Sort") for p in plans) == 1
+
+
+def test_renumbered_rows_are_those_of_the_join(spark):
+    columns = "id bigint, slice_start bigint, slice_end bigint, shard int, features array<float>"
+    # Paper 3 was stored twice and 5 in two shards, 7 has two new shards, 9 lies in two slices, 4 and 8 are not wanted.
+    stored = [(1, 0, 9, 0), (2, 0, 9, 0), (3, 0, 9, 0), (3, 0, 9, 0), (4, 0, 9, 1), (5, 0, 9, 1), (5, 0, 9, 2), (7, 0, 9, 2), (8, 0, 9, 2)]
+    stored += [(9, 0, 9, 3), (9, 9, 18, 0), (10, 9, 18, 0), (None, 9, 18, 0)]
+    stored = spark.createDataFrame([(*r, [float(i)]) for i, r in enumerate(stored)], columns)
+    moved = [(1, 0), (2, 1), (3, 1), (3, 1), (5, 2), (7, 2), (7, 3), (9, 4), (9, 0), (10, 0), (None, 0), (11, 0)]
+    numbers = spark.createDataFrame(moved, "id bigint, shard int")
+    want = stored.drop("shard").join(numbers, "id")
+    got = append._renumbered(stored, numbers)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_written_shards_leave_no_shuffle_files(spark, tables):
+    def files():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", blocks.mkString(" ")))
+
+    papers, vectors = tables
+    examples = append.sharded_examples(papers, vectors, 2000, 2004, 1, 3, 2, 2, ["y"], filter_vectors=False)
+    before = files()
+    shards.write_shards(examples, scratch.new_path(spark, "examples"), 3, overwrite=True)
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get(scratch.DROP_SHUFFLES) != "true"
