@@ -18,7 +18,7 @@ from citeframe.functions.vectors import pack
 from citeframe.operators.folds import make_folds
 from citeframe.operators.training import MAX_TRIALS
 from citeframe.plans.crossval import cross_validate
-from citeframe.plans.export import export, sharded_examples
+from citeframe.plans.export import export, sharded_parts
 from citeframe.sources import datasets, shards
 
 # Column names and settings of the paper table and of its yearly evaluation.
@@ -94,7 +94,7 @@ def run(argv: Sequence[str], spark: SparkSession) -> None:
         papers, vectors = _papers_and_vectors(df, args)
         datasets.assert_unique(papers)
         rows = rows_per_shard(args.shard_bytes, args.timepoints, args.n_features)
-        examples = sharded_examples(
+        examples = sharded_parts(
             papers, vectors, *args.years, rows, args.timepoints, args.n_features, args.labels, args.pad
         )
         export(examples, args.examples, args.manifest, rows, args.overwrite, tuple(args.years[:2]))

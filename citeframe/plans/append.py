@@ -20,7 +20,7 @@ from citeframe.operators.citations import dangling_references
 from citeframe.operators.keyfilter import key_blocks, may_hold
 from citeframe.operators.sequences import build_examples
 from citeframe.operators.slicing import assign_shards, time_slices
-from citeframe.plans.export import sharded_examples
+from citeframe.plans.export import sharded_parts
 from citeframe.sources import published, scratch
 from citeframe.sources.shards import SHARD_KEYS
 
@@ -46,12 +46,12 @@ def _index_path(root: str, folder: str) -> str:
 def first_export(papers: DataFrame, vectors: DataFrame, root: str, shape: Shape) -> int:
     """Publishes the examples of all papers, with the index of their dangling references; returns the version."""
     folder = published.new_folder(root)
-    examples = sharded_examples(
+    parts = sharded_parts(
         papers, vectors, shape.start_year, shape.end_year, shape.delta, shape.rows_per_shard, shape.timepoints, shape.n_features,
         shape.y_cols, shape.pad, filter_vectors=False,
     )
     dangling_references(papers, papers).write.parquet(_index_path(root, folder))
-    published.write_part([examples], root, folder, shape.rows_per_shard)
+    published.write_part(parts, root, folder, shape.rows_per_shard)
     return published.commit(papers.sparkSession, root, folder)
 
 

@@ -9,7 +9,7 @@ folder they had, so nothing that a reader may be reading is rewritten. One write
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -48,13 +48,13 @@ def version_slices(spark: SparkSession, root: str, version: int | None = None) -
     return commits(spark, root).where(F.col("version") == version)
 
 
-def write_part(parts: Sequence[DataFrame], root: str, folder: str, rows_per_shard: int) -> None:
+def write_part(parts: Iterable[DataFrame], root: str, folder: str, rows_per_shard: int) -> None:
     """Shards and counts of one folder, not seen by any reader yet. The examples come in one or more parts, each laid out by
     shard; they are written one after the other, so that their shuffle files are never on disk together."""
     path = f"{root}/{folder}/examples"
     for i, examples in enumerate(parts):
         write_shards(examples, path, rows_per_shard, overwrite=not i, append=bool(i))
-    write_manifest(parts[0].sparkSession, path, f"{root}/{folder}/manifest", overwrite=True)
+    write_manifest(examples.sparkSession, path, f"{root}/{folder}/manifest", overwrite=True)
 
 
 def commit(spark: SparkSession, root: str, folder: str) -> int:

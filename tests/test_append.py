@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from citeframe.functions.timeline import year_start_ns
 from citeframe.plans import append
+from citeframe.plans.export import sharded_examples
 from citeframe.sources import published, scratch, shards
 
 SHAPE = append.Shape(2000, 2004, 3, 2, 2, ("y",))
@@ -149,7 +150,7 @@ def test_written_shards_leave_no_shuffle_files(spark, tables):
         return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", blocks.mkString(" ")))
 
     papers, vectors = tables
-    examples = append.sharded_examples(papers, vectors, 2000, 2004, 1, 3, 2, 2, ["y"], filter_vectors=False)
+    examples = sharded_examples(papers, vectors, 2000, 2004, 1, 3, 2, 2, ["y"], filter_vectors=False)
     before = files()
     shards.write_shards(examples, scratch.new_path(spark, "examples"), 3, overwrite=True)
     until = time.time() + 20

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from citeframe.functions.timeline import year_start_ns
 from citeframe.operators.slicing import example_count
 from citeframe.plans import views
-from citeframe.plans.export import export, sharded_examples
+from citeframe.plans.export import export, sharded_examples, sharded_parts, year_parts
 from citeframe.sources import scratch, shards
 from citeframe.streaming import examples as lazy
 
@@ -130,3 +130,30 @@ def test_rows_of_a_shard_lie_together(spark, paths):
 
 def test_shards_are_written_in_zstd(spark, paths):
     assert all(name.endswith(".zstd.parquet") for name in spark.read.parquet(paths[0]).inputFiles())
+
+
+def test_parts_hold_whole_slices(spark):
+    dates = [year_start_ns(y) for y in (2000, 2000, 2001, 2003, 2003, 2003, 2005, 2006)]
+    papers = spark.createDataFrame([(i, d) for i, d in enumerate(dates)], "id bigint, publication_date_int bigint")
+    assert year_parts(papers, 2000, 2007, 1, 10, 30) == [(2000, 2003), (2003, 2005), (2005, 2007)]
+    assert year_parts(papers, 2000, 2007, 1, 10, 10) == [(2000, 2001), (2001, 2003), (2003, 2004), (2004, 2006), (2006, 2007)]
+    assert year_parts(papers, 2000, 2007, 2, 10, 1000) == [(2000, 2008)]
+    assert year_parts(papers, 2010, 2012, 1, 10, 10) == [(2010, 2012)]
+    assert year_parts(papers, 2000, 2000, 1, 10, 10) == [(2000, 2000)]
+
+
+def test_an_export_in_parts_equals_one_write(spark, sf, paths, monkeypatch):
+    args = views.labelled_papers(spark, sf), views.vectors(spark, sf), 1995, 2002, 1, B, K, N, ["above_mean"]
+    parts = []
+    monkeypatch.setattr("citeframe.plans.export.write_shards", lambda rows, *a, **b: (parts.append(rows), shards.write_shards(rows, *a, **b)))
+    out = scratch.new_path(spark, "examples"), scratch.new_path(spark, "manifest")
+    rows = lambda path: sorted(map(tuple, shards.read_shards(spark, path, K, N).collect()), key=lambda r: r[0])
+    want, manifest = rows(paths[0]), sorted(map(tuple, shards.read_manifest(spark, paths[1]).collect()))
+    # The second time on top of the first, of everything and then of some slices.
+    for overwrite, years in ((True, (1995, 2002)), (True, (1995, 2002)), (False, (1997, 2000))):
+        parts.clear()
+        made = sharded_parts(*args[:2], *years, *args[4:], part_bytes=600 * (K + 1) * N * 4)
+        export(made, *out, B, overwrite=overwrite, years=years)
+        assert len(parts) > 1
+        assert rows(out[0]) == want
+        assert sorted(map(tuple, shards.read_manifest(spark, out[1]).collect())) == manifest
